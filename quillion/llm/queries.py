@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillion.llm import ngram_jaccard
+from quillion.llm import decontaminate, ngram_jaccard, packing, quality_rules, token_pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_pack.pack_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_ngram_jaccard": op10_ngram_jaccard}
+    found = (op2_decontamination, op3_token_packing, op4_quality_rules, op7_best_fit_packing, op10_ngram_jaccard)
+    return {f.__name__: f for f in found}
 
 
 #: Words as the operators see them, and the sets of word n-grams (a text of under n words is one gram).
@@ -41,5 +58,49 @@ SELECT node, s.doc_id, 1.0::DOUBLE FROM sets JOIN s USING (g) WHERE s.doc_id <>
 """
 
 
+_Q = quality_rules
+
+
+def _regex(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+OP4 = rf"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ 	]+|[ 	]+$', '', 'g')), lambda x: x <> '') AS every
+           FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, every, list_filter(every, lambda x: regexp_matches(x, {_regex(_Q.END)})
+        AND NOT regexp_matches(lower(x), {_regex(_Q.NAVIGATION)})
+        AND NOT regexp_matches(lower(x), {_regex(_Q.BOILERPLATE)})
+        AND len(regexp_split_to_array(x, {_regex(_Q.SYMBOL)})) - 1 <= length(x) * {_Q.MAX_SYMBOLS}::DOUBLE
+        AND NOT (len(regexp_split_to_array(x, '{_Q.LOUD}')) - 1) * 4 > len(regexp_split_to_array(x, ' +'))
+        AND NOT (len(regexp_split_to_array(x, ' +')) >= {_Q.MIN_WORDS_STUTTER}
+                 AND len(list_distinct(regexp_split_to_array(x, ' +'))) < len(regexp_split_to_array(x, ' +')) * {_Q.MIN_DISTINCT}::DOUBLE)) AS good
+      FROM l),
+r AS (SELECT doc_id, array_to_string(good, chr(10)) AS text, len(every) AS n_lines, len(good) AS n_kept,
+        coalesce(list_sum(list_transform(every, lambda x: length(x))), 0)::BIGINT AS n_chars,
+        coalesce(list_sum(list_transform(good, lambda x: length(x))), 0)::BIGINT AS n_left FROM g)
+SELECT * FROM r WHERE n_left > 0 AND n_left >= n_chars * {1 - _Q.MAX_LOSS}
+"""
+
+_D = decontaminate
+OP2 = rf"""
+WITH pat AS (SELECT '[\p{{L}}\p{{N}}\p{{M}}]+' AS p),
+bw AS (SELECT item_id, regexp_extract_all(lower(text), (SELECT p FROM pat)) AS w FROM benchmark WHERE text IS NOT NULL),
+bs AS (SELECT item_id, w, least(len(w), {_D.N}) AS n FROM bw WHERE len(w) >= {min(_D.N, _D.MIN_WORDS)}),
+bg AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM bs),
+d AS (SELECT doc_id, text, regexp_extract_all(text, (SELECT p FROM pat)) AS w, regexp_split_to_array(coalesce(text, ''), (SELECT p FROM pat)) AS gap FROM documents),
+g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: lower(array_to_string(w[i:i + n - 1], ' ')))) AS gram
+      FROM d, (SELECT DISTINCT n FROM bg)),
+h AS (SELECT doc_id, i, n, item_id FROM g JOIN bg USING (n, gram)),
+c AS (SELECT doc_id, list_distinct(list(p)) AS cut FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id),
+j AS (SELECT d.doc_id, d.text, d.w, d.gap, coalesce(c.cut, []) AS cut, coalesce(k.items, '') AS items FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, CASE WHEN len(cut) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(gap) + 1), lambda i:
+    CASE WHEN list_contains(cut, i - 1) AND list_contains(cut, i) THEN '' ELSE gap[i] END || CASE WHEN i > len(w) OR list_contains(cut, i) THEN '' ELSE w[i] END), '') END AS text,
+  coalesce(len(w), 0) AS n_words, len(cut) AS n_removed, items
+FROM j WHERE len(cut) < {_D.DROP_SHARE} * len(w) OR len(cut) = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard": OP10}
+    return {"op2_decontamination": OP2, "op4_quality_rules": OP4, "op10_ngram_jaccard": OP10}
