@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillion.llm import decontaminate, ngram_jaccard, packing, quality_rules, token_pack
+from quillion.llm import chat, decontaminate, html_extract, ngram_jaccard, packing, pii_crf, qda, quality_rules, token_pack, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -25,16 +30,44 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve(warc.from_pages(_table(spark, sf_dir, "pages")))
+    return resolved.select("page_id", "record_id", "uri", "date", "digest", "state", "original_id", "header", F.decode("payload", "UTF-8").alias("payload"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.report(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_decontamination, op3_token_packing, op4_quality_rules, op7_best_fit_packing, op10_ngram_jaccard)
+    found = (
+        op1_html_extraction,
+        op2_decontamination,
+        op3_token_packing,
+        op4_quality_rules,
+        op5_quality_classifier,
+        op6_warc_revisits,
+        op7_best_fit_packing,
+        op8_pii_masking,
+        op9_chat_rotation,
+        op10_ngram_jaccard,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -66,7 +99,9 @@ def _regex(x: str) -> str:
 
 
 OP4 = rf"""
-WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ 	]+|[ 	]+$', '', 'g')), lambda x: x <> '') AS every
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ 	
+]+|[ 	
+]+$', '', 'g')), lambda x: x <> '') AS every
            FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, every, list_filter(every, lambda x: regexp_matches(x, {_regex(_Q.END)})
         AND NOT regexp_matches(lower(x), {_regex(_Q.NAVIGATION)})
@@ -102,5 +137,38 @@ FROM j WHERE len(cut) < {_D.DROP_SHARE} * len(w) OR len(cut) = 0
 """
 
 
+OP6 = rf"""
+WITH r AS (SELECT page_id, 'urn:page:' || coalesce(page_id::VARCHAR, 'null') AS record_id, html IS NULL AS revisit, coalesce(url, '') AS uri,
+             strftime(to_timestamp({warc.EPOCH} + coalesce(page_id, 0)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS date,
+             'sha1:' || sha1(coalesce(html, url, '')) AS digest, html FROM pages),
+g AS (SELECT digest, min({{'d': date, 'i': record_id, 'u': uri}}) FILTER (NOT revisit) AS f, count(*) AS n FROM r GROUP BY digest),
+s AS (SELECT r.*, g.f, CASE WHEN NOT revisit AND {{'d': date, 'i': record_id, 'u': uri}} = g.f THEN 'original' WHEN g.f IS NOT NULL THEN 'revisit' ELSE 'unresolved' END AS state
+      FROM r JOIN g USING (digest)),
+p AS (SELECT *, CASE WHEN state = 'original' THEN html ELSE '' END AS payload, chr(13) || chr(10) AS nl FROM s)
+SELECT page_id, record_id, uri, date, digest, state, CASE WHEN state = 'revisit' THEN f.i END AS original_id,
+  'WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN state = 'original' THEN 'response' ELSE 'revisit' END || nl || 'WARC-Record-ID: <' || record_id || '>' || nl
+  || 'WARC-Target-URI: ' || uri || nl || 'WARC-Date: ' || date || nl || 'WARC-Payload-Digest: ' || digest || nl
+  || CASE state WHEN 'original' THEN '' ELSE
+       CASE state WHEN 'revisit' THEN 'WARC-Refers-To: <' || f.i || '>' || nl || 'WARC-Refers-To-Target-URI: ' || f.u || nl || 'WARC-Refers-To-Date: ' || f.d || nl ELSE '' END
+       || 'WARC-Profile: {warc.PROFILE}' || nl END
+  || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(payload) || nl || nl AS header, payload
+FROM p
+"""
+
+OP9 = r"""
+WITH t AS (SELECT conv_id, turn, role, replace(replace(coalesce(text, ''), '<|im_', '<||im_'), chr(13) || chr(10), chr(10)) AS text
+           FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+p AS (SELECT n.conv_id, speaker, i, role = speaker AS own,
+        '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+        text || '<|im_end|>' || chr(10) AS body FROM n JOIN s USING (conv_id)),
+o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM p)
+SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || body, '' ORDER BY i) AS text,
+  string_agg((pos + length(head)) || ':' || (pos + length(head) + length(body)), ',' ORDER BY i) FILTER (own) AS mask
+FROM o GROUP BY conv_id, speaker
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op4_quality_rules": OP4, "op10_ngram_jaccard": OP10}
+    return {"op2_decontamination": OP2, "op4_quality_rules": OP4, "op6_warc_revisits": OP6, "op9_chat_rotation": OP9, "op10_ngram_jaccard": OP10}
