@@ -7,6 +7,7 @@ once, unlike a cached one.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -42,3 +43,15 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows in what runs inside: long texts then take less memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
