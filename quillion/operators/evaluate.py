@@ -73,7 +73,8 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column, Column]:
     p = k / n
     mid = (p + Z * Z / (2 * n)) / (1 + Z * Z / n)
     half = Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n)) / (1 + Z * Z / n)
-    return p, F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
+    known = n.isNotNull()
+    return p, F.when(known, F.greatest(mid - half, F.lit(0.0))), F.when(known, F.least(mid + half, F.lit(1.0)))
 
 
 def gate(rate: Column, threshold: float | None) -> Column:
