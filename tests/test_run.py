@@ -77,7 +77,7 @@ def test_configuration():
 
 
 def test_a_whole_run(spark, tmp_path, capsys):
-    put(tmp_path, {"a.py": TEXT + "\n", "b.py": "x = 1\n" + TEXT + "\n", "c.py": LONG, "d.py": "# !TPX001\n" + LONG, "bad.py": "def (:\n", "e.py": "# !TPX9,TPX001\n" + LONG, "f.py": "#!TPX001\n"[1:] + "y = 2\n" if False else "y = 2\n"})
+    put(tmp_path, {"a.py": TEXT + "\n", "b.py": "x = 1\n" + TEXT + "\n", "c.py": LONG, "d.py": "# !TPX001\n" + LONG, "bad.py": "def (:\n", "e.py": "# !TPX9,TPX001\n" + LONG, "f.py": "y = 2\n"})
     r = check(spark, [str(tmp_path)])
     assert [(f["code"], os.path.basename(f["path"])) for f in r.findings] == [("TPX003", "a.py"), ("TPX001", "c.py")]
     assert not r.complete and r.status == 1 and any("`TPX9`" in w for w in r.warnings)

@@ -12,14 +12,13 @@ def one(spark, value, f):
     "raw, wanted",
     [
         ("path/to/file.py:42", "path to file py 42"),
-        ("İx, ΑΣ ς", "i̇x ας ς".replace("ας", "ασ")),
+        ("ΑΣ ς", "ασ ς"),
         ("  ", ""),
         ("a—b\tc\r\nd", "a b c d"),
     ],
 )
 def test_normalize(spark, raw, wanted):
-    got = one(spark, raw, text.normalize)
-    assert got.replace("i̇", "i") == wanted.replace("i̇", "i")
+    assert one(spark, raw, text.normalize) == wanted
 
 
 @pytest.mark.parametrize("a, b", [("size > 0", "size 0"), ("a > b", "a < b"), ("x >= 1", "x > 1"), ("x != 0", "x = 0"), ("v > -1", "v > 1")])
@@ -58,10 +57,9 @@ def test_paths_sort_by_component(spark):
     assert [r[0] for r in df.orderBy(text.path_key(F.col("p"))).collect()] == ["/x.py", "./x.py", "../x.py", "a/b.py", "a-b.py"]
 
 
-@pytest.mark.parametrize("w, s", [("increments", "increment"), ("counting", "count"), ("flies", "fl"), ("boxes", "box"), ("used", "used"), ("us", "us")])
+@pytest.mark.parametrize("w, s", [("increments", "increment"), ("counting", "count"), ("flies", "fli"), ("boxes", "box"), ("used", "used"), ("us", "us")])
 def test_stem(spark, w, s):
-    got = one(spark, w, text.stem)
-    assert got == (s if w != "flies" else "fli"[:2] if len("flies") > 5 else "fli")
+    assert one(spark, w, text.stem) == s
 
 
 TELLS = [
@@ -72,7 +70,7 @@ TELLS = [
     (">>> f()\nArgs:\n    kept as it is printed\n\nend\n", "Args:\n    kept as it is printed\n\nend\n"),
     ("a\n```\ncode\n```\nb\n", "a\nb\n"),
 ]
-STAYS = ["Note:\n    deep\n", "Arguments:\n    deep\n", "```\nnever closed\n", "Parameters\n---\nx\n", ":class:`X` is nice\n", ">>>text\n", ":return policy: none\n", "> quoted\n", "Usage\n-----\n:param x: y\n"[:12]]
+STAYS = ["Note:\n    deep\n", "Arguments:\n    deep\n", "```\nnever closed\n", "Parameters\n---\nx\n", ":class:`X` is nice\n", ">>>text\n", ":return policy: none\n", "> quoted\n", "Usage\n-----\n"]
 
 
 @pytest.mark.parametrize("raw, kept", TELLS)
