@@ -28,7 +28,7 @@ from quillion.plans.scratch import Scratch
 
 CAPACITY = 2048
 #: Pieces of at most this part of a bin are the last octave.
-LAST = 64
+LAST = 4
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
