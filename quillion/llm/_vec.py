@@ -81,7 +81,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def words(texts: list[str]) -> Words:
     """The words of each text. A missing text must be given as an empty one; it has no words."""
-    if not texts:
+    if not any(texts):
         z = np.zeros(0, dtype=np.int64)
         return Words(np.zeros(0, dtype=np.uint64), z, z, z)
     cps, starts = code_points(texts)
@@ -158,3 +158,16 @@ def slices(lengths: list[int], limit: int):
         total += n
     if at < len(lengths):
         yield at, len(lengths)
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a Python worker lives on with what it once took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

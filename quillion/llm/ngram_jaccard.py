@@ -5,8 +5,10 @@ differ in at most k grams, where k follows from their sizes. Sizes are cut into
 1/threshold, so that a partner is in the same band or the next. In a band, grams are hashed to b blocks
 and each block is a parity sketch: the XOR of the hashes of its grams. A differing gram changes one
 block, so the number of differing blocks is a lower bound of the symmetric difference, and at most k
-blocks differ. By the pigeonhole principle the first k+1 blocks that hold an informative gram contain
-one that both sets share. Those sketches are joined on equality and the pairs are verified exactly.
+blocks differ. By the pigeonhole principle the first k+c blocks that hold an informative gram contain
+c that both sets share. Those sketches are joined on equality, pairs with fewer than c in common are
+dropped, so are those whose sketches of the whole sets differ in too many bits, and the rest is
+verified exactly.
 
 Grams that many documents have (`hot`) make a block uninformative when it holds nothing else. Which
 grams are hot changes the work only: a set with too few informative blocks (`weak`) falls back to
@@ -26,15 +28,22 @@ from pyspark.sql import functions as F
 
 from quillion.llm import _vec
 from quillion.operators.components import connected_components
-from quillion.plans.scratch import Scratch
+from quillion.plans.scratch import Scratch, arrow_rows
 
 N = 2
 THRESHOLD = 0.7
-CHARS = 1 << 21
+CHARS = 1 << 20
+COMMON = 4
+#: Sketches that are joined in one part, about.
+PART = 12_000_000
+#: Sketches that are sorted at once.
+SLICE = 2_000_000
+#: Pairs that one pass over a part counts, about.
+PAIRS = 4_000_000
 HOT_MAX = 1 << 21
 FILTER_MAX = 1 << 22
 _U = np.uint64
-_DOC = np.dtype([("id", "<i8"), ("h", "<u8"), ("n", "<i4")])
+_DOC = np.dtype([("id", "<i8"), ("h", "<u4"), ("n", "<u4")])
 
 
 class Bands:
@@ -52,10 +61,24 @@ class Bands:
             k.append(int((1 - t) / (1 + t) * (most + int(most / t))))
             b.append(1 if k[-1] == 0 else int(2.5 * k[-1]) + 2)
         self.lo, self.k, self.b = (np.array(x, dtype=np.int64) for x in (lo, k, b))
+        #: Sketches that a pair has in common at least, and how many of a set are joined.
+        self.common = np.maximum(1, np.minimum(COMMON, self.lo[:-1] - self.k))
+        self.joined = self.k + self.common
 
     def of(self, n):
         return np.searchsorted(self.lo, n, side="right") - 1
 
+    def routes(self, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """First part and number of parts of each band, of about `PART` sketches each; `sizes` counts sets by size."""
+        work = np.zeros(len(self.k))
+        for n, count in sizes.items():
+            i = int(self.of(n))
+            work[i] += count * min(n, int(self.joined[i]))
+            if i:
+                work[i - 1] += count * min(n, int(self.joined[i - 1]))
+        number = np.ceil(work / PART).astype(np.int64)
+        return np.cumsum(number) - number, number
+
     def similar_sizes(self, a, b):
         return np.minimum(a, b) * self.t.denominator >= np.maximum(a, b) * self.t.numerator
 
@@ -96,8 +119,20 @@ def _non_empty(ids, sets):
     return ids[keep], [sets[i] for i in keep]
 
 
+def _bits(n):
+    """Bits of a set's parity sketch: the power of two of at least two bits a gram, 64 at least."""
+    return 1 << max(6, int(2 * n - 1).bit_length())
+
+
+def _sketch(grams):
+    """Parity sketch of a set: every gram flips the bit at its hash modulo the number of bits."""
+    bits = _bits(len(grams))
+    flips = np.bincount((_vec.mix(grams ^ _U(0x5BD1E995)) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(bool)).tobytes()
+
+
 def _summarise(n, per_doc_hot):
-    """Set hash and size of each document, and counts of grams that are common in this part."""
+    """Set hash, size and sketch of each document, and counts of grams that are common in this part."""
 
     def run(it):
         held, docs = [], 0
@@ -106,7 +141,7 @@ def _summarise(n, per_doc_hot):
             grams, c = np.unique(np.concatenate(held), return_counts=True)
             keep = c >= max(2, int(per_doc_hot * docs / 4))
             m = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array([None] * m, pa.int64()), pa.array(grams[keep].view(np.int64)), pa.array([None] * m, pa.int64()), pa.array(c[keep])], ["doc_id", "h1", "h2", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([None] * m, pa.int64()), pa.array(grams[keep].view(np.int64)), pa.array([None] * m, pa.int64()), pa.array(c[keep]), pa.array([None] * m, pa.binary())], ["doc_id", "h1", "h2", "n", "sketch"])
 
         for ids, texts in _batches(it):
             ids, sets = _non_empty(ids, _vec.gram_sets(texts, n))
@@ -114,20 +149,22 @@ def _summarise(n, per_doc_hot):
                 continue
             flat, size = _join_sets(sets)
             h1, h2 = _set_hashes(flat, size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size)], ["doc_id", "h1", "h2", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size), pa.array([_sketch(s) for s in sets], pa.binary())], ["doc_id", "h1", "h2", "n", "sketch"])
             held.append(flat)
             docs += len(ids)
-            if sum(map(len, held)) > 1 << 22:
+            if sum(map(len, held)) > 1 << 21:
                 yield counts()
                 held, docs = [], 0
         if held:
             yield counts()
+        del held
+        _vec.trim()
 
     return run
 
 
 def _signatures(flat, size, bands: Bands, hot):
-    """Block sketches of a batch of sets: (sketch, set number, whether for the band below its own)."""
+    """Block sketches of a batch of sets: (sketch, set number, whether for the band below its own, band)."""
     level = bands.of(size)
     number = np.repeat(np.arange(len(size)), size)
     rare = ~hot[(flat >> _U(40)).astype(np.int64)]
@@ -139,7 +176,7 @@ def _signatures(flat, size, bands: Bands, hot):
         lv = level - below
         ok = lv >= 0
         lv = np.maximum(lv, 0)
-        b, k = bands.b[lv], bands.k[lv]
+        b, joined = bands.b[lv], bands.joined[lv]
         block = ((top * b[number].astype(np.uint64)) >> _U(32)).astype(np.int64)
         first = np.ones(len(flat), dtype=bool)
         first[1:] = (block[1:] != block[:-1]) | (number[1:] != number[:-1])
@@ -152,35 +189,35 @@ def _signatures(flat, size, bands: Bands, hot):
         np.add.at(before, whose + 1, informative)
         useful = before[1:].copy()
         before = np.cumsum(before)
-        keep = informative & (seen - before[whose] <= k[whose] + 1) & ok[whose]
+        keep = informative & (seen - before[whose] <= joined[whose]) & ok[whose]
         whose, salt = whose[keep], (lv[whose[keep]] << 32) + which[keep]
-        out.append((_vec.mix(sketch[keep] ^ _vec.mix(salt.astype(np.uint64))), whose, below))
-        for i in np.flatnonzero(ok & (useful <= k)):
+        out.append((_vec.mix(sketch[keep] ^ _vec.mix(salt.astype(np.uint64))), whose, below, lv[whose]))
+        for i in np.flatnonzero(ok & (useful < joined)):
             a, z = starts[i], starts[i + 1]
-            order = np.argsort(~rare[a:z], kind="stable")[: k[i] + 1]
+            order = np.argsort(~rare[a:z], kind="stable")[: joined[i]]
             salt = _vec.mix(np.array([(int(lv[i]) << 32) | 0xFFFFFFFF], dtype=np.uint64))
-            out.append((_vec.mix(second[a:z][order] ^ salt), np.full(len(order), i), below))
-    sig = np.concatenate([x for x, _, _ in out])
-    whose = np.concatenate([x for _, x, _ in out])
-    low = np.concatenate([np.full(len(x), f, dtype=np.uint32) for x, _, f in out])
-    return sig, whose, low
+            out.append((_vec.mix(second[a:z][order] ^ salt), np.full(len(order), i), below, np.full(len(order), lv[i])))
+    sig = np.concatenate([x for x, *_ in out])
+    whose = np.concatenate([x for _, x, *_ in out]).astype(np.int32)
+    low = np.concatenate([np.full(len(x), f, dtype=np.uint32) for x, _, f, _ in out])
+    return sig, whose, low, np.concatenate([x for *_, x in out])
 
 
-def _emit(n, bands, hot_bits, parts):
+def _emit(n, bands, hot_bits, routes):
     """Sketches as one row for each part: its documents, and parallel arrays of sketch and document."""
 
     def run(it):
         hot = np.unpackbits(hot_bits.value).view(bool)
+        begin, number = routes
+        parts = int(number.sum())
         held, total, docs = [], 0, 0
 
         def flush():
             table = np.concatenate([d for d, *_ in held])
-            shift = np.concatenate(([0], np.cumsum([len(d) for d, *_ in held])[:-1]))
-            sig = np.concatenate([s for _, s, _, _ in held])
+            shift = np.cumsum([0] + [len(d) for d, *_ in held[:-1]], dtype=np.int32)
+            value = np.concatenate([v for _, v, _, _ in held])
             who = np.concatenate([w + x for (_, _, w, _), x in zip(held, shift)])
-            low = np.concatenate([x for *_, x in held])
-            part = (sig % _U(parts)).astype(np.int64)
-            value = ((sig >> _U(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | low
+            part = np.concatenate([p for *_, p in held])
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             rows = []
@@ -201,9 +238,11 @@ def _emit(n, bands, hot_bits, parts):
                 continue
             flat, size = _join_sets(sets)
             table = np.zeros(len(ids), dtype=_DOC)
-            table["id"], table["h"], table["n"] = ids, _set_hashes(flat, size)[0], np.minimum(size, (1 << 31) - 1)
-            sig, who, low = _signatures(flat, size, bands, hot)
-            if held and (docs + len(ids) > 65_000 or total + len(sig) > 3_000_000):
+            table["id"], table["h"], table["n"] = ids, (_set_hashes(flat, size)[0] >> _U(32)).astype(np.uint32), np.minimum(size, (1 << 31) - 1)
+            sig, who, low, level = _signatures(flat, size, bands, hot)
+            part = (begin[level] + (sig % np.maximum(number[level], 1).astype(np.uint64)).astype(np.int64)).astype(np.int32)
+            sig = ((sig >> _U(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | low
+            if held and (docs + len(ids) > 65_000 or total + len(sig) > 1_500_000):
                 yield from flush()
                 held, total, docs = [], 0, 0
             for a in range(0, len(ids), 65_000):  # a place has 16 bits
@@ -212,84 +251,98 @@ def _emit(n, bands, hot_bits, parts):
                 if held and docs + z - a > 65_000:
                     yield from flush()
                     held, total, docs = [], 0, 0
-                held.append((table[a:z], sig[mine], who[mine] - a, low[mine]))
+                held.append((table[a:z], sig[mine], who[mine] - np.int32(a), part[mine]))
                 total += len(held[-1][1])
                 docs += z - a
         if held:
             yield from flush()
+        del held
+        _vec.trim()
 
     return run
 
 
 def _pairs_of_runs(docs, value, who, bands: Bands):
-    """Pairs of different sets that share a sketch, each set under its smallest document."""
-    key = np.sort(((value >> np.uint32(1)).astype(np.uint64) << _U(33)) | ((value & np.uint32(1)).astype(np.uint64) << _U(32)) | who.astype(np.uint64))
-    sig = key >> _U(33)
-    same = sig[1:] == sig[:-1]
-    shared = np.zeros(len(key), dtype=bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    key, sig = key[shared], sig[shared]
-    if not len(key):
-        return
-    low = ((key >> _U(32)) & _U(1)).astype(bool)
-    who = (key & _U(0xFFFFFFFF)).astype(np.int64)
-    h, ids = docs["h"][who], docs["id"][who]
-    order = np.lexsort((ids, h, sig))
-    sig, h, who, low = sig[order], h[order], who[order], low[order]
-    first = np.ones(len(sig), dtype=bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
-    sig, who, low = sig[first], who[first], low[first]
-    left, right, count = [], [], 0
+    """Pairs of different sets that share sketches, each set under its smallest document, and how many they share."""
+    slices = len(value) // SLICE + 1
+    kept: list[tuple] = []
+    for turn in range(slices):
+        mine = slice(None) if slices == 1 else np.flatnonzero((value >> np.uint32(1)) % np.uint32(slices) == turn)
+        v = value[mine].astype(np.uint64)
+        key = ((v >> _U(1)) << _U(33)) | ((v & _U(1)) << _U(32)) | who[mine].astype(np.uint64)
+        key.sort()
+        same = (key[1:] >> _U(33)) == (key[:-1] >> _U(33))
+        shared = np.zeros(len(key), dtype=bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        key = key[shared]
+        sig, w = (key >> _U(33)).astype(np.uint32), (key & _U(0xFFFFFFFF)).astype(np.int64)
+        bit = ((key >> _U(32)) & _U(1)).astype(bool)
+        h = docs["h"][w].astype(np.uint64) << _U(32) | docs["n"][w].astype(np.uint64)
+        order = np.lexsort((docs["id"][w], h, sig))
+        sig, h, w, bit = sig[order], h[order], w[order].astype(np.int32), bit[order]
+        first = np.ones(len(sig), dtype=bool)
+        first[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
+        sig, w, bit = sig[first], w[first], bit[first]
+        more = np.zeros(len(sig), dtype=bool)
+        more[1:] = sig[1:] == sig[:-1]
+        more[:-1] |= more[1:].copy()
+        kept.append((sig[more], w[more], bit[more]))
+    sig, who, low = (np.concatenate(x) for x in zip(*kept))
+    del kept, value
     cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
     length = np.diff(cut)
     at = cut[:-1][length > 1]
     length = length[length > 1]
-    step = 1
-    where = np.concatenate([np.arange(a, a + m) for a, m in zip(at, length)]) if len(at) else np.zeros(0, dtype=np.int64)
-    end = np.repeat(at + length, length)
-
-    def found():
-        a, b = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1).astype(np.uint64) @ np.array([1 << 32, 1], dtype=np.uint64))
-        return (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
-
-    while len(where):
-        inside = where + step < end
-        where, end = where[inside], end[inside]
-        x, y = where, where + step
-        ok = ~(low[x] & low[y])
-        a, b = who[x[ok]], who[y[ok]]
-        ok = bands.similar_sizes(docs["n"][a].astype(np.int64), docs["n"][b].astype(np.int64))
-        left.append(a[ok])
-        right.append(b[ok])
-        count += len(left[-1])
-        if count > 8_000_000:
-            a, b = found()
-            if len(a) > 4_000_000:
-                yield a, b
-                left, right, count = [], [], 0
-            else:
-                left, right, count = [a], [b], len(a)
-        step += 1
-    if count:
-        yield found()
-
-
-def _candidates(bands):
+    if not len(at):
+        return
+    members = np.repeat(at - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
+    ends = np.repeat(at + length, length)
+    # pairs are counted in as many passes as memory asks for, by the end with the smaller set hash, which is first in every run
+    passes = int((length * (length - 1) // 2).sum() // PAIRS) + 1
+    for turn in range(passes):
+        own = slice(None) if passes == 1 else who[members] % passes == turn
+        keys, step, where, end = [], 1, members[own], ends[own]
+        while len(where):
+            inside = where + step < end
+            where, end = where[inside], end[inside]
+            x, y = where, where + step
+            ok = ~(low[x] & low[y])
+            a, b = who[x[ok]], who[y[ok]]
+            ok = bands.similar_sizes(docs["n"][a].astype(np.int64), docs["n"][b].astype(np.int64))
+            a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
+            keys.append((np.minimum(a, b) << 32) | np.maximum(a, b))
+            step += 1
+        if not keys:
+            continue
+        both, number = np.unique(np.concatenate(keys), return_counts=True)
+        yield both >> 32, both & 0xFFFFFFFF, number.astype(np.int32)
+
+
+def _candidates(bands, whole):
     def run(it):
         by_part: dict[int, list] = {}
         for batch in it:
             for p, d, s, w in zip(*(c.to_pylist() for c in batch.columns)):
                 by_part.setdefault(p, []).append((np.frombuffer(d, _DOC), np.frombuffer(s, np.uint32), np.frombuffer(w, np.uint16)))
-        for blobs in by_part.values():
+        while by_part:
+            blobs = by_part.popitem()[1]
             shift = np.concatenate(([0], np.cumsum([len(d) for d, _, _ in blobs])[:-1]))
             docs = np.concatenate([d for d, _, _ in blobs])
-            who = np.concatenate([w.astype(np.int64) + x for (_, _, w), x in zip(blobs, shift)])
-            for a, b in _pairs_of_runs(docs, np.concatenate([s for _, s, _ in blobs]), who, bands):
+            who = np.concatenate([w.astype(np.int32) + np.int32(x) for (_, _, w), x in zip(blobs, shift)])
+            value = np.concatenate([s for _, s, _ in blobs])
+            del blobs
+            for a, b, number in _pairs_of_runs(docs, value, who, bands):
                 for i in range(0, len(a), 1 << 17):
                     x, y = docs[a[i : i + (1 << 17)]], docs[b[i : i + (1 << 17)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (x["id"], x["h"].view(np.int64), y["id"], y["h"].view(np.int64))], ["a", "ha", "b", "hb"])
+                    level = bands.of(np.minimum(x["n"], y["n"]).astype(np.int64))
+                    counted = number[i : i + (1 << 17)]
+                    # where one part has all of a band, the count is final
+                    ok = (x["id"] != y["id"]) & (~whole[level] | (counted >= bands.common[level]))
+                    p, q = np.minimum(x["id"], y["id"])[ok], np.maximum(x["id"], y["id"])[ok]
+                    need = bands.common[level][ok].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(counted[ok]), pa.array(need)], ["a", "b", "number", "need"])
+        _vec.trim()
 
     return run
 
@@ -313,32 +366,90 @@ def _gram_rows(n, wanted):
             for a, b in _vec.slices([len(t) for t in texts], CHARS):
                 which, sets = _non_empty(some[hit[a:b]], _vec.gram_sets(texts[a:b], n))
                 if sets:
-                    h = _set_hashes(*_join_sets(sets))[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(h.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "h", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "payload"])
+
+    return run
+
+
+def _read(it):
+    """Ids and payloads of the documents of a partition's cells, and pairs as their numbers.
+
+    A document of two cells comes twice and is kept once. Of an id with several texts, each text counts.
+    """
+    payloads: dict[int, dict[bytes, int]] = {}
+    ids, rows, left, right = [], [], [], []
+    for batch in it:
+        _, a, b, data = (c for c in batch.columns)
+        is_pair = np.array(data.is_null())
+        pa_, pb_ = np.array(a)[is_pair], np.array(b.fill_null(0))[is_pair]
+        left.append(pa_)
+        right.append(pb_)
+        for key, d in zip(np.array(a)[~is_pair].tolist(), data.filter(pa.array(~is_pair)).to_pylist()):
+            own = payloads.setdefault(key, {})
+            if d not in own:
+                own[d] = len(rows)
+                ids.append(key)
+                rows.append(d)
+    none = np.zeros(0, dtype=np.int64)
+    if not rows:
+        return none, [], none.reshape(-1, 2)
+    x = np.stack([np.concatenate(left), np.concatenate(right)], 1)
+    first = {k: next(iter(v.values())) for k, v in payloads.items()}
+    pairs = np.array([[first[p], first[q]] for p, q in x.tolist()], dtype=np.int64).reshape(-1, 2)
+    several = {k: list(v.values()) for k, v in payloads.items() if len(v) > 1}
+    if several:
+        more = [[i, j] for p, q in x.tolist() if p in several or q in several for i in several.get(p, [first[p]]) for j in several.get(q, [first[q]])]
+        pairs = np.unique(np.concatenate([pairs, np.array(more, dtype=np.int64).reshape(-1, 2)]), axis=0)
+    return np.array(ids, dtype=np.int64), rows, pairs
+
+
+def _near_sketches(bands):
+    """Pairs whose sketches differ in no more bits than their sets may differ in grams."""
+
+    def run(it):
+        ids, payload, x = _read(it)
+        if not len(x):
+            return
+        size = np.array([int.from_bytes(v[:8], "little") for v in payload], dtype=np.int64)
+        rows = [np.frombuffer(v, np.uint64, offset=8) for v in payload]
+        length = np.array([len(r) for r in rows])
+        least = np.minimum(length[x[:, 0]], length[x[:, 1]])
+        t = bands.t
+        most = (size[x].sum(axis=1) * (t.denominator - t.numerator)) // (t.denominator + t.numerator)
+        ok = bands.similar_sizes(size[x[:, 0]], size[x[:, 1]])
+        for words in np.unique(least).tolist():
+            mine = np.flatnonzero((least == words) & ok)
+            for s in range(0, len(mine), max(1, (1 << 21) // words)):
+                at = mine[s : s + max(1, (1 << 21) // words)]
+                used, back = np.unique(x[at], return_inverse=True)
+                table = np.stack([np.bitwise_xor.reduce(_fold(rows[i], words), axis=0) for i in used])
+                back = back.reshape(-1, 2)
+                apart = np.bitwise_count(table[back[:, 0]] ^ table[back[:, 1]]).sum(axis=1, dtype=np.int64)
+                ok[at] = apart <= most[at]
+        for s in range(0, int(ok.sum()), 1 << 17):
+            at = np.flatnonzero(ok)[s : s + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x[at, 0]]), pa.array(ids[x[at, 1]])], ["a", "b"])
 
     return run
 
 
+def _fold(row, words):
+    """A sketch of more bits as rows of `words` 64-bit words, the XOR of which is the sketch of fewer bits."""
+    return row.reshape(-1, words)
+
+
 def _verify(bands):
     """Exact overlap of the pairs of a cell, whose documents' grams are in the same partition."""
 
     def run(it):
-        sets: dict[tuple, np.ndarray] = {}
-        pairs = []
-        for batch in it:
-            for cell, a, ha, b, hb, g in zip(*(c.to_pylist() for c in batch.columns)):
-                if g is None:
-                    pairs.append(((a, ha), (b, hb)))
-                else:
-                    sets[a, ha] = np.frombuffer(g, np.uint64)
-        if not pairs:
+        ids, payload, x = _read(it)
+        if not len(x):
             return
-        keys = {k: i for i, k in enumerate(sets)}
-        size = np.array([len(s) for s in sets.values()], dtype=np.int64)
-        _, local = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+        sets = [np.frombuffer(v, np.uint64) for v in payload]
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        _, local = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate(([0], np.cumsum(size)))
         mark = np.zeros(int(local.max()) + 1, dtype=bool)
-        x = np.array([[keys[p], keys[q]] for p, q in pairs], dtype=np.int64)
         x = x[np.argsort(x[:, 0], kind="stable")]
         inter = np.zeros(len(x), dtype=np.int64)
         cut = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0], [True])))
@@ -355,13 +466,45 @@ def _verify(bands):
             mark[mine] = False
         na, nb = size[x[:, 0]], size[x[:, 1]]
         ok = bands.enough(inter, na, nb)
-        ids = np.array([k[0] for k in sets], dtype=np.int64)
         p, q = ids[x[ok, 0]], ids[x[ok, 1]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(inter[ok] / (na + nb - inter)[ok])], ["doc_id_a", "doc_id_b", "jaccard"])
 
     return run
 
 
+def _little_endian(column):
+    """A long as eight bytes, the lowest first."""
+    return F.expr(f"unhex(concat_ws('', transform(sequence(7, 0, -1), i -> substr(lpad(hex({column}), 16, '0'), 2 * i + 1, 2))))")
+
+
+def _small(df):
+    """`df`, to be broadcast if its rows, which are a few numbers each, are counted and not many."""
+    return F.broadcast(df) if df.count() <= FILTER_MAX // 4 else df
+
+
+def _cells(scratch, pairs):
+    """Pairs by cell, and the documents of each cell.
+
+    A cell holds pairs whose ends have the same two labels. A document's label is its smallest neighbour or
+    itself, so that near cliques fall in one cell; labels of many documents are cut in chunks.
+    """
+    ends = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "o")
+    label = ends.groupBy("id").agg(F.min("o").alias("o")).select("id", F.least("o", "id").alias("label"))
+    share = label.groupBy("label").agg(F.ceil(F.count("*") / 1024).alias("chunks"))
+    label = scratch.keep(label.join(share, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), "chunks")).alias("label")))
+    label = _small(label)
+    left, right = (label.select(F.col("id").alias(i), F.col("label").alias(x)) for i, x in (("a", "la"), ("b", "lb")))
+    placed = pairs.join(left, "a").join(right, "b").select(F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")).alias("cell"), "a", "b")
+    placed = scratch.keep(placed)
+    return placed, placed.select("cell", F.col("a").alias("id")).union(placed.select("cell", "b")).distinct()
+
+
+def _in_cells(placed, members, payloads, parts):
+    """Each cell's pairs, and the payloads of its documents, in one partition."""
+    rows = payloads.join(members, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
+    return rows.union(placed.select("cell", "a", "b", F.lit(None).cast("binary").alias("payload"))).repartition(parts, "cell")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All pairs of documents whose sets of distinct word `n`-grams have Jaccard >= `threshold`.
 
@@ -373,32 +516,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     their texts differ, the id has the pairs of either, with the greatest Jaccard. Other columns, of
     whatever name, are not read. Empty input gives an empty result.
     """
+    with arrow_rows(docs.sparkSession, 1000):
+        return _join(docs, n, threshold, id_col, text_col)
+
+
+def _join(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     bands = Bands(threshold)
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = max(1, docs.count())
-    hot_df = max(64, isqrt(total))
-    summary = scratch.keep(texts.mapInArrow(_summarise(n, hot_df / total), "doc_id long, h1 long, h2 long, n long"))
+    hot_df = max(32, isqrt(total) // 8)
+    summary = scratch.keep(texts.mapInArrow(_summarise(n, hot_df / total), "doc_id long, h1 long, h2 long, n long, sketch binary"))
     counts = summary.where("doc_id is null").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_df)
     hot = np.zeros(1 << 24, dtype=bool)
     hot[[r >> 40 & 0xFFFFFF for r in counts.orderBy(F.desc("n"), "h1").limit(HOT_MAX).toPandas()["h1"].tolist()]] = True
     hot_bits = spark.sparkContext.broadcast(np.packbits(hot))
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    emitted = texts.mapInArrow(_emit(n, bands, hot_bits, parts), "part int, docs binary, sketches binary, places binary")
-    found = emitted.repartitionById(parts, F.col("part")).mapInArrow(_candidates(bands), "a long, ha long, b long, hb long")
-    pairs = scratch.keep(found.distinct())
-
-    # A cell holds pairs whose ends have the same two labels, a label being the smallest neighbour: near cliques fall in one cell.
-    ends = pairs.select("a", "ha", "b", "hb").union(pairs.select("b", "hb", "a", "ha")).toDF("id", "h", "o", "oh")
-    label = scratch.keep(ends.groupBy("id", "h").agg(F.least(F.min("o"), F.first("id")).alias("label")))
-    share = label.groupBy("label").agg(F.ceil(F.count("*") / 1024).alias("chunks"))
-    label = label.join(share, "label").select("id", "h", F.xxhash64("label", F.pmod(F.xxhash64("id", "h"), "chunks")).alias("label"))
-    left, right = (label.select(F.col("id").alias(i), F.col("h").alias(h), F.col("label").alias(x)) for i, h, x in (("a", "ha", "la"), ("b", "hb", "lb")))
-    placed = pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"]).select(F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")).alias("cell"), "a", "ha", "b", "hb")
-    placed = scratch.keep(placed)
-    members = placed.select("cell", F.col("a").alias("id"), F.col("ha").alias("h")).union(placed.select("cell", "b", "hb")).distinct()
+    described = summary.where("doc_id is not null")
+    near_size = F.round(F.pow(F.lit(1.02), F.round(F.log(F.col("n")) / F.log(F.lit(1.02))))).cast("long")
+    sizes = dict(tuple(r) for r in described.groupBy(near_size.alias("n")).count().collect())
+    routes = bands.routes(sizes)
+    emitted = texts.mapInArrow(_emit(n, bands, hot_bits, routes), "part int, docs binary, sketches binary, places binary")
+    found = emitted.repartitionById(max(1, int(routes[1].sum())), F.col("part")).mapInArrow(_candidates(bands, routes[1] == 1), "a long, b long, number int, need int")
+    placed, members = _cells(scratch, scratch.keep(found.groupBy("a", "b").agg(F.sum("number").alias("number"), F.min("need").alias("need")).where("number >= need").select("a", "b")))
+    sketches = described.select(F.col("doc_id").alias("id"), F.concat(_little_endian("n"), "sketch").alias("payload"))
+    sketches = sketches.join(_small(scratch.keep(members.select("id").distinct())), "id", "left_semi")
+    near = _in_cells(placed, members, sketches, parts).mapInArrow(_near_sketches(bands), "a long, b long")
+    placed, members = _cells(scratch, scratch.keep(near.distinct()))
     few = scratch.keep(members.select("id").distinct())
     wanted = None
     if few.count() <= FILTER_MAX:
@@ -406,13 +552,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
         some = texts if len(wanted.value) else texts.limit(0)
     else:
         some = texts.join(few, texts["doc_id"] == few["id"], "left_semi")
-    grams = some.mapInArrow(_gram_rows(n, wanted), "id long, h long, grams binary").join(members, ["id", "h"])
-    none = F.lit(None)
-    rows = grams.select("cell", F.col("id").alias("a"), F.col("h").alias("ha"), none.cast("long").alias("b"), none.cast("long").alias("hb"), "grams")
-    rows = rows.union(placed.select("cell", "a", "ha", "b", "hb", none.cast("binary").alias("grams")))
-    near = rows.repartition(parts, "cell").mapInArrow(_verify(bands), "doc_id_a long, doc_id_b long, jaccard double")
+    grams = some.mapInArrow(_gram_rows(n, wanted), "id long, payload binary")
+    near = _in_cells(placed, members, grams, parts).mapInArrow(_verify(bands), "doc_id_a long, doc_id_b long, jaccard double")
 
-    sets = summary.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id_a"), F.collect_set("doc_id").alias("ids"))
+    sets = described.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id_a"), F.collect_set("doc_id").alias("ids"))
     equal = sets.where(F.size("ids") > 1).select("doc_id_a", F.explode("ids").alias("doc_id_b")).where("doc_id_a <> doc_id_b").withColumn("jaccard", F.lit(1.0))
     every = near.where("doc_id_a <> doc_id_b").union(equal)
     return scratch.keep(every.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")))
