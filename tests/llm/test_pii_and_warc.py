@@ -54,6 +54,26 @@ def test_messages_are_exact_on_a_tree():
         assert np.allclose(got[i], joint.sum(axis=tuple(j for j in range(n) if j != i)), atol=1e-3)
 
 
+def test_numbers_written_with_spaces():
+    kinds = lambda text: [(text[a:b], k) for a, b, k in pii_crf.find([text])[0]]
+    assert kinds("card 4111 1111 1111 1111, then") == [("4111 1111 1111 1111", "CARD")] and kinds("3782 822463 10005") == [("3782 822463 10005", "CARD")]
+    assert kinds("to DE89 3704 0044 0532 0130 00 or GB82 WEST 1234 5698 7654 32 now") == [("DE89 3704 0044 0532 0130 00", "IBAN"), ("GB82 WEST 1234 5698 7654 32", "IBAN")]
+    assert kinds("555 123 4567") == [("555 123 4567", "PHONE")] and kinds("at +44 20 7946 0958 or 06 12 34 56 78") == [("+44 20 7946 0958", "PHONE"), ("06 12 34 56 78", "PHONE")]
+    assert kinds("and 078 05 1120.") == [("078 05 1120", "SSN")]
+    assert kinds("4111 1111 1111 1111 555 123 4567") == [("4111 1111 1111 1111", "CARD"), ("555 123 4567", "PHONE")]
+    for decoy in ("4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00", "order 555 123 4567", "12 345 678", "2021 05 01"):
+        assert kinds(decoy) == []
+
+
+def test_names_without_a_title(spark):
+    texts = ["my name is John Smith", "contact Jane Doe", "Contact Loxin Aretu today", "Ludwig van Beethoven slept", "Yesterday Anna came", "Yesterday Dr Jane Doe met Mary O'Brien", "Dear Loxin, how are you"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [r.text for r in pii_crf.report(df).orderBy("doc_id").collect()]
+    assert got == ["my name is <PERSON>", "contact <PERSON>", "Contact <PERSON> today", "<PERSON> slept", "Yesterday <PERSON> came", "Yesterday Dr <PERSON> met <PERSON>", "Dear <PERSON>, how are you"]
+    other = ["The General Public License says", "Apache License", "In New York And So On", "contact Customer Service", "Orre Orre"]
+    assert pii_crf.find(other) == [[]] * len(other)
+
+
 def test_masking_documents(spark):
     mail = "x.10@mail1.example.com"
     rows = [(1, f"a {mail} b", 99, "en"), (2, None, None, "en"), (3, "", 0, None), (None, mail, 1, "en"), (4, "no numbers", 10, "en"), (4, "no numbers", 10, "en"), (5, ("word " * 1000 + mail + " ") * 50, 1, "en")]
