@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillion.functions.text import corpus_shingles, jaccard, words
+from quillion.functions.text import MIN_LINES, MIN_WORDS, corpus_shingles, jaccard, words
+from quillion.operators import similarity
 
 MAX_DF = 40
 THRESHOLDS = (0.5, 0.6, 0.75, 0.9, 1.0)
@@ -90,6 +91,20 @@ def scored_pairs(blocks: DataFrame, max_df: int = MAX_DF) -> DataFrame:
     return both.select("l", "r", jaccard(F.col("ga"), F.col("gb")).alias("score"), F.least("la", "lb").alias("lines"), F.least("wa", "wb").alias("words"))
 
 
+def inspect_findings(blocks: DataFrame) -> DataFrame:
+    """`(l, r, score)`: every pair of blocks over the floors with Jaccard >= 0.75, equal texts at 1.0 among them.
+
+    Exact: the prefix join stands in for the capped index, so common shingles hide no pair. Rows grow with the
+    square of a family's size. `blocks` is read more than once.
+    """
+    large = blocks.where((F.col("size_lines") >= MIN_LINES) & (F.col("size_words") >= MIN_WORDS)).select("doc_id", F.xxhash64("normalized").alias("nid"), "normalized")
+    grams = F.transform(corpus_shingles(words(F.col("normalized"))), lambda g: F.xxhash64(g))
+    sets = large.dropDuplicates(["nid"]).select("nid", grams.alias("grams")).select("nid", F.size("grams").alias("n"), "grams")
+    a, b = large.select(F.col("doc_id").alias("x"), F.col("nid").alias("l")), large.select(F.col("doc_id").alias("y"), F.col("nid").alias("r"))
+    near = similarity.near_edges(sets).join(a, "l").join(b, "r").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"), "score")
+    return near.union(a.join(b, F.col("l") == F.col("r")).where("x < y").select("x", "y", F.lit(1.0)))
+
+
 def _grid(blocks: DataFrame, cutoffs: list[tuple[int, int]]) -> DataFrame:
     """`(min_lines, min_words, threshold, pairs)`; copies count by arithmetic, other pairs by their score."""
     spark = blocks.sparkSession

@@ -264,6 +264,12 @@ def inspect_pairs(spark, sf):
     return stats.scored_pairs(_kept(spark, _blocks(spark, sf).drop("narrative"))).where("score >= 0.75 and lines >= 2 and words >= 8").select("l", "r", "score")
 
 
+@_query()
+def inspect_findings(spark, sf):
+    """All of what `inspect_pairs` lists the different texts of: equal texts too, and without the index's cap."""
+    return stats.inspect_findings(_kept(spark, _blocks(spark, sf).drop("narrative")))
+
+
 @_query(
     f"""WITH {B}, v AS (SELECT kind, size_lines AS value, row_number() OVER (PARTITION BY kind ORDER BY size_lines) AS rn, count(*) OVER (PARTITION BY kind) AS n FROM b)
 SELECT kind, percent, value::BIGINT AS value FROM v, (SELECT unnest([50, 90, 99]) AS percent) WHERE rn = greatest(1, ceil(percent / 100.0 * n))"""

@@ -64,3 +64,19 @@ def test_first_after(spark):
     left = spark.createDataFrame([("f", 1), ("f", 5), ("g", 1)], "k string, n int")
     right = spark.createDataFrame([("f", 1), ("f", 3), ("f", 4)], "k string, n int")
     assert sorted((r.k, r.n, r.nxt) for r in evaluate.first_after(left, right, "k", "n", "nxt").collect() if r.nxt) == [("f", 1, 3)]
+
+
+def test_inspected_pairs_have_copies_and_no_cap(spark):
+    words = [f"w{i}" for i in range(40)]
+    near = [" ".join(words[:-1] + [f"x{i}"]) for i in range(42)]
+    texts = near + [near[0], "one two three four five six seven eight", "one two three four five six seven eight", "a b c", "a b c", "other words"]
+    rows = [(i, t, 1 if i == 1 else 2, len(t.split())) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, normalized string, size_lines int, size_words int")
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    want = {}
+    for i, t, n, k in rows:
+        for j, u, m, q in rows[i + 1 :]:
+            if min(n, m) >= 2 and min(k, q) >= 8 and len(grams(t) & grams(u)) >= 0.75 * len(grams(t) | grams(u)):
+                want[i, j] = len(grams(t) & grams(u)) / len(grams(t) | grams(u))
+    got = stats.inspect_findings(df).collect()
+    assert {(r.l, r.r): r.score for r in got} == want and len(got) == len(want) and want[0, 42] == want[43, 44] == 1.0
