@@ -30,18 +30,73 @@ _STOP = {
 _ANY = frozenset(w for v in _STOP.values() for w in v)
 _STOPS = {k: frozenset(v) for k, v in _STOP.items()}
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: What goes up to its end tag, or to the end of the page, whatever looks like a tag in it.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>")
 _BLOCKS = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+_BODY = "|".join(sorted(_BLOCKS - {"head", "html", "title"}))
+_HEAD = re.compile(rf"<head(?![\w-]){_ATTRS}>", re.I)
+_HEAD_ENDS = re.compile(rf"(</head\s*>)|<(?:{_BODY})(?![\w-])", re.I)
+_HEAD_HOLDS = re.compile(rf"(?:\s|<title(?![\w-]){_ATTRS}>[^<]*(?:</title\s*>)?|</?(?:base|basefont|bgsound|link|meta)(?![\w-]){_ATTRS}>)*", re.I)
+_MAY_GO = re.compile(r"<(?:noscript|template|svg|select)(?![\w-])", re.I)
+_GOES = re.compile(rf"<(/?)(noscript|template|svg|select|foreignobject|{_BODY})(?![\w-]){_ATTRS}>", re.I)
 _NEVER = frozenset("nav footer aside menu form".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPACE = re.compile(r"\s+")
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
 
 
+def _without_hidden(html: str) -> str:
+    """`html` without what is in noscript, template, svg and select.
+
+    One without its end tag loses the tag only; an svg ends at the first block that can't be in it, and may close itself.
+    """
+    if not _MAY_GO.search(html):
+        return html
+    open_: dict[str, list[int]] = {"noscript": [], "template": [], "svg": [], "select": []}
+    gone: list[tuple[int, int]] = []
+    foreign = 0
+    for m in _GOES.finditer(html):
+        name = m.group(2).lower()
+        if name == "foreignobject":
+            foreign = max(0, foreign + (-1 if m.group(1) else 1)) if open_["svg"] else 0
+        elif name not in open_:
+            if open_["svg"] and not foreign:
+                gone.append((open_["svg"][0], m.start()))
+                open_["svg"] = []
+        elif m.group(1):
+            if open_[name]:
+                gone.append((open_[name].pop(), m.end()))
+            if name == "svg" and not open_[name]:
+                foreign = 0
+        elif name == "svg" and m.group().endswith("/>"):
+            gone.append(m.span())
+        elif name in ("svg", "template"):
+            open_[name].append(m.start())
+        else:
+            open_[name] = [m.start()]
+    parts, at = [], 0
+    for a, b in sorted(gone):
+        if b > at:
+            parts += [html[at : max(a, at)], " "]
+            at = b
+    return "".join(parts) + html[at:]
+
+
+def _without_head(html: str) -> str:
+    """`html` without its head, which ends at its end tag or, if that is left out, where the body begins."""
+    m = _HEAD.search(html)
+    if not m:
+        return html
+    end = _HEAD_ENDS.search(html, m.end())
+    to = end.end() if end and end.group(1) else _HEAD_HOLDS.match(html, m.end()).end()
+    return html[: m.start()] + " " + html[to:]
+
+
 def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
     """`(text, characters in links, is heading, in boilerplate tag)` of each non-empty block, in order."""
-    html = _GONE.sub(" ", html)
+    html = _without_head(_without_hidden(_RAW.sub(" ", html)))
     out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked = links = heading = never = at = 0
@@ -143,7 +198,8 @@ def _stops(lang: str | None) -> frozenset:
 
 def extract(html: str) -> tuple[str, int, int]:
     """Main text, number of blocks, and number kept."""
-    m = _LANG.search(html, 0, 4096)
+    html = _RAW.sub(" ", html)
+    m = _LANG.search(html)
     stops = _stops(m.group(1).lower() if m else None)
     found = blocks(html)
     kinds = [first_pass(t, linked, never, stops) for t, linked, _, never in found]

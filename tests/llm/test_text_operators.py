@@ -169,6 +169,29 @@ no doubt about it at all, or so it was said by the people who know how to tell t
 <p><a href="/a">a link of some length to go</a> <a href="/b">and another link to another place</a></p><footer>&copy; 2020 someone</footer></body></html>"""
 
 
+def test_pages_without_end_tags():
+    article = "The cat sat on the mat and it was all that we had to see for the day, and this is what they said about it. " * 3
+    want = " ".join(article.split())
+    plain = lambda head, body="": html_extract.extract(f'<html lang="en">{head}<p>{article}</p>{body}</html>')[0]
+    for head in ("<head><title>T</title>", "<head><title>T</title><body>", "<head><meta x><link y></head>", "<header>x</header>", "<head><noscript><p>no</p></noscript><title>T</title></head>"):
+        assert plain(head) == want
+    assert html_extract.extract(f"<head><title>T</title>{article}")[0] == want
+    icon = '<svg class="i" viewBox="0 0 1 1" />'
+    for open_ in (icon, "<svg><path d=x>", "<select><option>a", "<template>", "<noscript>"):
+        assert want in plain(open_) and want in plain(open_, "<svg><text>no</text></svg><select><option>no</select>")
+        assert "no" not in plain(icon, "<svg><text>no</text></svg>").split()
+    inner = "<svg><foreignObject><div>" + article + "</div></foreignObject></svg>"
+    assert plain(inner) == want and plain("<template><template>x</template>" + article + "</template>") == want
+    assert html_extract.extract(f"<p>{article}</p><script>var a; <p>{article}</p>")[0] == want
+
+
+def test_language_behind_a_long_preamble(monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_extract, "_stops", lambda lang: seen.append(lang) or frozenset())
+    html_extract.extract("<!-- <html lang='fr'>" + "x" * 5000 + "-->" + '<html lang="de"><p>x</p>')
+    assert seen == ["de"]
+
+
 def test_main_text_of_a_page():
     text, n, kept = html_extract.extract(PAGE)
     lines = text.split("\n")
