@@ -222,6 +222,24 @@ def suppression_markers(spark, sf):
     return lines.select("doc_id", s["all"].alias("all"), F.array_join(s["codes"], ",").alias("codes"), F.array_join(s["unknown"], ",").alias("unknown"), markers.near_miss(F.col("line")).alias("near_miss"))
 
 
+@_query()
+def document_markers(spark, sf):
+    """Every line of every document that is a suppression marker or nearly one."""
+    lines = _read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    s = markers.suppression(F.col("line"))
+    found = lines.select("doc_id", (F.col("at") + 1).alias("line"), s["all"].alias("all"), F.array_join(s["codes"], ",").alias("codes"), F.array_join(s["unknown"], ",").alias("unknown"), markers.near_miss(F.col("line")).alias("near_miss"))
+    return found.where("all or codes <> '' or unknown <> '' or near_miss")
+
+
+@_query()
+def marked_clusters(spark, sf):
+    """As `suppressed_clusters`, but what silences a document is a marker in its own first line."""
+    blocks = _blocks(spark, sf)
+    first = F.element_at(F.split("raw", "\n", 2), 1)
+    loud = blocks.where(F.col("raw").isNotNull() & ~markers.silenced(markers.suppression(first), "TPX003"))
+    return similarity.clusters(loud).select(F.col("members")[0]["path"].alias("first"), F.size("members").alias("members"), F.col("weakest_score").alias("similarity"))
+
+
 _PAIRS = f"""k AS (SELECT *, CASE WHEN size_words = 0 THEN [] WHEN size_words < 3 THEN [normalized] ELSE {_GRAMS.format("ws")} END AS gs FROM (SELECT *, {_WORDS.format("normalized")} AS ws FROM b)),
 ps AS (SELECT doc_id, unnest(gs) AS s FROM k), df AS (SELECT s, count(*) AS df FROM ps GROUP BY s),
 lo AS (SELECT doc_id, s FROM ps JOIN df USING (s) WHERE df <= {stats.MAX_DF}),
@@ -473,8 +491,8 @@ SELECT source || '/doc_' || doc_id || '.py' AS path, 'comment' AS kind, 1 AS lin
   trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS normalized FROM s"""
 )
 def extract_blocks(spark, sf):
-    """The extractor over documents rendered as Python files."""
-    docs = _read(spark, sf, "documents").where(~F.col("text").rlike(r"(?i)(^|\n)(\s*#|\s*noqa|\s*type:|!)"))
+    """The extractor over documents rendered as Python files; a null text is no file. The SQL knows no comments for tools."""
+    docs = _read(spark, sf, "documents").where("text is not null")
     blocks, _ = extract.read_sources(adapters.rendered_sources(docs))
     return blocks.select("path", "kind", "line_start", "line_end", "normalized")
 

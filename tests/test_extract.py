@@ -56,3 +56,29 @@ def test_an_unreadable_file_is_a_row(spark):
     assert {r.path for r in skipped.collect()} == {"bad.py", "latin.py"}
     got = {(r.path, r.line_start, r.line_above) for r in blocks.collect()}
     assert got == {("ok.py", 1, None), ("bom.py", 2, "﻿# !TPX001")}
+
+
+def test_queries_read_every_document_and_whole_lines(spark, tmp_path):
+    from quillion import queries
+
+    long = "one shared explanation of nine words stands here twice"
+    texts = ["# Heading\ntext", "#!/bin/sh\necho", "noqa: a\nplain", "a\ntype: b\nc", "!TPX003 why\nrest", None, "plain"]
+    texts += ["x" * 40 + "\n  # !TPX001,TPX9 " + "y" * 40, "a line of twenty and # !TPX003", "# see here what is far away TPX003", f"# !TPX003\n{long}", f"{long}\nagain and again", f"{long}\nagain and again"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.path, r.line_start, r.line_end, r.normalized) for r in queries.queries()["extract_blocks"](spark, str(tmp_path)).collect())
+    want = []
+    for i, t in enumerate(texts):
+        run = []
+        for n, line in enumerate([*([] if t is None else t.split("\n")), None], 1):
+            if line is None or line.lower().startswith(("noqa", "type:")) or line.startswith("!TPX"):
+                if run:
+                    words = "".join(c.lower() if c.isalnum() else " " for c in " ".join(x for _, x in run)).split()
+                    want.append((f"s/doc_{i}.py", run[0][0], run[-1][0], " ".join(words)))
+                run = []
+            else:
+                run.append((n, line))
+    assert got == sorted(want)
+    found = {(r.doc_id, r.line): (r.all, r.codes, r.unknown, r.near_miss) for r in queries.queries()["document_markers"](spark, str(tmp_path)).collect()}
+    assert found == {(7, 2): (False, "TPX001", "TPX9", False), (9, 1): (False, "", "", True), (10, 1): (False, "TPX003", "", False)}
+    silent = queries.queries()["marked_clusters"](spark, str(tmp_path)).collect()
+    assert [(r["first"], r.members) for r in silent] == [("s/doc_11.py", 2)]
