@@ -11,7 +11,7 @@ from quillion.functions import markers, text
 from quillion.operators import evaluate, findings, similarity, stats, volume
 from quillion.operators.components import connected_components
 from quillion.plans.scratch import Scratch
-from quillion.sources import adapters, extract
+from quillion.sources import adapters, extract, restatement as restated
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -497,6 +497,17 @@ def extract_blocks(spark, sf):
     return blocks.select("path", "kind", "line_start", "line_end", "normalized")
 
 
+@_query()
+def restatement(spark, sf):
+    """Comments that restate the next code line, over documents rendered as Python files."""
+    return restated.find(adapters.rendered_sources(_read(spark, sf, "documents")))
+
+
+@_query()
+def restatement_rate(spark, sf):
+    return restated.rate(adapters.rendered_sources(_read(spark, sf, "documents")))
+
+
 @_query("SELECT * FROM (VALUES ('TPX001', 'comment over the word limit'), ('TPX002', 'docstring over the word limit'), ('TPX003', 'same explanation in several places')) v(code, title)")
 def rules(spark, sf):
     return spark.createDataFrame([("TPX001", "comment over the word limit"), ("TPX002", "docstring over the word limit"), ("TPX003", "same explanation in several places")], "code string, title string")

@@ -82,3 +82,32 @@ def test_queries_read_every_document_and_whole_lines(spark, tmp_path):
     assert found == {(7, 2): (False, "TPX001", "TPX9", False), (9, 1): (False, "", "", True), (10, 1): (False, "TPX003", "", False)}
     silent = queries.queries()["marked_clusters"](spark, str(tmp_path)).collect()
     assert [(r["first"], r.members) for r in silent] == [("s/doc_11.py", 2)]
+
+
+def test_restatements(spark):
+    from quillion.sources import restatement
+
+    source = """# increment the counters
+counter_increment += 1
+# print(df, file_path)
+
+print(df, file_path)
+# source / destination
+copy(source, destination)
+# why this is here at all
+x = 1  # x trailing
+def f():
+    # retry limits
+    r'Doc.'
+    # noqa: retry limit
+    return retry_limit
+# last words nowhere
+"""
+    n, hits = restatement.restatements(source)
+    assert n == 7
+    assert [(a, c, k) for a, _, c, k in hits] == [(1, "counter_increment += 1", False), (3, "print(df, file_path)", True), (6, "copy(source, destination)", False), (11, "return retry_limit", False), (13, "return retry_limit", False)]
+    like = {"if lock:": True, "config.retry_limit": True, "a / b": False, "plain words here": False, "x = 1": True, "": False, "f(x)": True, "a[0]": True}
+    assert {k: restatement.looks_like_code(k) for k in like} == like
+    files = spark.createDataFrame([("a.py", bytearray(source.encode())), ("b.py", bytearray(b"def (")), ("c.py", None), ("d.py", bytearray(b"# a\n"))], "path string, content binary")
+    assert sorted(r.line for r in restatement.find(files).collect()) == [1, 3, 6, 11, 13]
+    assert tuple(restatement.rate(files).first()) == (8, 5, 1, 625.0) and tuple(restatement.rate(files.limit(0)).first()) == (0, 0, 0, 0.0)
