@@ -77,6 +77,11 @@ class Bands:
             if i:
                 work[i - 1] += count * min(n, int(self.joined[i - 1]))
         number = np.ceil(work / PART).astype(np.int64)
+        # sizes are rounded here but not where sketches are sent: a band beside an occupied one may get some too
+        beside = np.zeros(len(work), dtype=bool)
+        beside[1:] |= work[:-1] > 0
+        beside[:-1] |= work[1:] > 0
+        number[beside] = np.maximum(number[beside], 1)
         return np.cumsum(number) - number, number
 
     def similar_sizes(self, a, b):

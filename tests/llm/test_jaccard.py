@@ -129,3 +129,16 @@ def test_windows_do_not_cut_words(monkeypatch):
     monkeypatch.setattr(_vec, "WINDOW", 64)
     cut = _vec.words([text, "b c"])
     assert all(np.array_equal(a, b) for a, b in zip(whole, cut))
+
+
+def test_largest_sets_that_round_into_the_band_below(spark):
+    n = 333
+    bands = nj.Bands(nj.THRESHOLD)
+    rounded = round(1.02 ** round(np.log(n) / np.log(1.02)))
+    assert bands.of(rounded) < bands.of(n)
+    begin, number = bands.routes({rounded: 2})
+    assert number[bands.of(n)] >= 1 and begin[bands.of(n)] < number.sum()
+    words = [f"w{i}" for i in range(n + 1)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"]))], "doc_id long, text string")
+    got = [tuple(r) for r in nj.ngram_jaccard_join(df).collect()]
+    assert got == [(1, 2, (n - 1) / (n + 1))]
