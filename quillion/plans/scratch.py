@@ -1,13 +1,15 @@
 """Tables written to a folder that all executors share, to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-machine, a temporary folder is made. A written table survives the loss of executors and is computed
-once, unlike a cached one.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the session runs on one
+machine, as in tests, a temporary folder is made; a cluster without the setting is an error. A written table
+survives the loss of executors and is computed once, unlike a cached one. Tables that nothing will read again
+are dropped: all of a scratch but the last with `finish`.
 """
 
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,10 +21,13 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillion-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """`df` as written to the shared folder and read again."""
@@ -34,6 +39,15 @@ class Scratch:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quillion_path = path
+        self.kept.append(out)
+        return out
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """`df` as written, when all other tables of this scratch are removed."""
+        before, self.kept = self.kept, []
+        out = self.keep(df)
+        for table in before:
+            self.drop(table)
         return out
 
     def drop(self, df: DataFrame) -> None:
