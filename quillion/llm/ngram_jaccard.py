@@ -14,19 +14,23 @@ Grams that many documents have (`hot`) make a block uninformative when it holds
 grams are hot changes the work only: a set with too few informative blocks (`weak`) falls back to
 single grams, rare ones first, which finds pairs of two weak sets; other pairs are found by the strong
 one. No candidate is dropped by a cap.
+
+Documents with equal sets are one node. The operator's result has one row for each document, with its class and
+its number of links, so that it grows with the documents and not with the square of a family.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillion.llm import _vec
+from quillion.llm import _columns, _vec
 from quillion.operators.components import connected_components
 from quillion.plans.scratch import Scratch, arrow_rows
 
@@ -35,15 +39,17 @@ THRESHOLD = 0.7
 CHARS = 1 << 20
 COMMON = 4
 #: Sketches that are joined in one part, about.
-PART = 12_000_000
+PART = 8_000_000
 #: Sketches that are sorted at once.
 SLICE = 2_000_000
 #: Pairs that one pass over a part counts, about.
-PAIRS = 4_000_000
+PAIRS = 3_000_000
+#: Bytes of the cells that are verified at once, about; a cell is never split.
+CELLS = 16 << 20
 HOT_MAX = 1 << 21
 FILTER_MAX = 1 << 22
 _U = np.uint64
-_DOC = np.dtype([("id", "<i8"), ("h", "<u4"), ("n", "<u4")])
+_DOC = np.dtype([("id", "<i8"), ("h", "<u8"), ("n", "<u4")])
 
 
 class Bands:
@@ -55,6 +61,8 @@ class Bands:
             raise ValueError("the threshold must be from 0.65 to 1")
         self.t = t
         lo, k, b = [1], [], []
+        if t == 1:  # equal sets only, which need no sketch
+            lo, k, b = [1, 1 << 40], [0], [1]
         while lo[-1] < 1 << 40:
             most = int(lo[-1] / t)
             lo.append(most + 1)
@@ -91,15 +99,15 @@ class Bands:
         return inter * self.t.denominator >= (a + b - inter) * self.t.numerator
 
 
-def _rows(batch):
-    """Ids and texts of a batch; rows without an id or a text are left out."""
+def _rows(batch, empty=False):
+    """Ids and texts of a batch; rows without an id are left out, and those without a text unless `empty` asks for them."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    return zip(*[(i, t) for i, t in zip(ids, texts) if i is not None and t]) if ids else ()
+    return zip(*[(i, t or "") for i, t in zip(ids, texts) if i is not None and (t or empty)]) if ids else ()
 
 
-def _batches(it, limit=CHARS):
+def _batches(it, limit=CHARS, empty=False):
     for batch in it:
-        got = tuple(_rows(batch))
+        got = tuple(_rows(batch, empty))
         if got:
             ids, texts = got
             for a, b in _vec.slices([len(t) for t in texts], limit):
@@ -119,6 +127,10 @@ def _set_hashes(flat, n):
     return h1, h2
 
 
+def _described(ids, h1, h2, n, sketch):
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "h1", "h2", "n", "sketch"])
+
+
 def _non_empty(ids, sets):
     keep = [i for i, s in enumerate(sets) if len(s)]
     return ids[keep], [sets[i] for i in keep]
@@ -137,7 +149,7 @@ def _sketch(grams):
 
 
 def _summarise(n, per_doc_hot):
-    """Set hash, size and sketch of each document, and counts of grams that are common in this part."""
+    """Set hash, size and sketch of each document, and, without an id, counts of grams that are common in this part."""
 
     def run(it):
         held, docs = [], 0
@@ -146,15 +158,19 @@ def _summarise(n, per_doc_hot):
             grams, c = np.unique(np.concatenate(held), return_counts=True)
             keep = c >= max(2, int(per_doc_hot * docs / 4))
             m = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array([None] * m, pa.int64()), pa.array(grams[keep].view(np.int64)), pa.array([None] * m, pa.int64()), pa.array(c[keep]), pa.array([None] * m, pa.binary())], ["doc_id", "h1", "h2", "n", "sketch"])
+            return _described([None] * m, grams[keep].view(np.int64), [None] * m, c[keep], [None] * m)
 
-        for ids, texts in _batches(it):
+        for ids, texts in _batches(it, empty=True):
+            every = ids
             ids, sets = _non_empty(ids, _vec.gram_sets(texts, n))
+            bare = np.setdiff1d(every, ids)
+            if len(bare):
+                yield _described(bare, np.zeros_like(bare), np.zeros_like(bare), np.zeros_like(bare), [None] * len(bare))
             if not sets:
                 continue
             flat, size = _join_sets(sets)
             h1, h2 = _set_hashes(flat, size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size), pa.array([_sketch(s) for s in sets], pa.binary())], ["doc_id", "h1", "h2", "n", "sketch"])
+            yield _described(ids, h1.view(np.int64), h2.view(np.int64), size, [_sketch(s) for s in sets])
             held.append(flat)
             docs += len(ids)
             if sum(map(len, held)) > 1 << 21:
@@ -243,7 +259,7 @@ def _emit(n, bands, hot_bits, routes):
                 continue
             flat, size = _join_sets(sets)
             table = np.zeros(len(ids), dtype=_DOC)
-            table["id"], table["h"], table["n"] = ids, (_set_hashes(flat, size)[0] >> _U(32)).astype(np.uint32), np.minimum(size, (1 << 31) - 1)
+            table["id"], table["h"], table["n"] = ids, _set_hashes(flat, size)[0], np.minimum(size, (1 << 31) - 1)
             sig, who, low, level = _signatures(flat, size, bands, hot)
             part = (begin[level] + (sig % np.maximum(number[level], 1).astype(np.uint64)).astype(np.int64)).astype(np.int32)
             sig = ((sig >> _U(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | low
@@ -283,7 +299,7 @@ def _pairs_of_runs(docs, value, who, bands: Bands):
         key = key[shared]
         sig, w = (key >> _U(33)).astype(np.uint32), (key & _U(0xFFFFFFFF)).astype(np.int64)
         bit = ((key >> _U(32)) & _U(1)).astype(bool)
-        h = docs["h"][w].astype(np.uint64) << _U(32) | docs["n"][w].astype(np.uint64)
+        h = docs["h"][w]
         order = np.lexsort((docs["id"][w], h, sig))
         sig, h, w, bit = sig[order], h[order], w[order].astype(np.int32), bit[order]
         first = np.ones(len(sig), dtype=bool)
@@ -376,14 +392,37 @@ def _gram_rows(n, wanted):
     return run
 
 
-def _read(it):
-    """Ids and payloads of the documents of a partition's cells, and pairs as their numbers.
+def _whole_cells(it):
+    """Batches of a partition that is sorted by cell, some whole cells at a time."""
+    held, size = [], 0
+    for batch in it:
+        cell = np.array(batch.column(0))
+        while len(cell) and size > CELLS:
+            same = cell == held[-1].column(0)[-1].as_py()
+            n = len(cell) if same.all() else int(np.argmin(same))
+            if n:
+                held.append(batch.slice(0, n))
+            batch, cell = batch.slice(n), cell[n:]
+            if len(cell):
+                yield held
+                held, size = [], 0
+                break
+        if len(cell):
+            # memory is that of the rows left, not of the batch that they are a view of
+            size += batch.nbytes
+            held.append(batch)
+    if held:
+        yield held
+
+
+def _read(batches):
+    """Ids and payloads of the documents of some cells, and pairs as their numbers.
 
     A document of two cells comes twice and is kept once. Of an id with several texts, each text counts.
     """
     payloads: dict[int, dict[bytes, int]] = {}
     ids, rows, left, right = [], [], [], []
-    for batch in it:
+    for batch in batches:
         _, a, b, data = (c for c in batch.columns)
         is_pair = np.array(data.is_null())
         pa_, pb_ = np.array(a)[is_pair], np.array(b.fill_null(0))[is_pair]
@@ -411,8 +450,8 @@ def _read(it):
 def _near_sketches(bands):
     """Pairs whose sketches differ in no more bits than their sets may differ in grams."""
 
-    def run(it):
-        ids, payload, x = _read(it)
+    def each(batches):
+        ids, payload, x = _read(batches)
         if not len(x):
             return
         size = np.array([int.from_bytes(v[:8], "little") for v in payload], dtype=np.int64)
@@ -435,6 +474,11 @@ def _near_sketches(bands):
             at = np.flatnonzero(ok)[s : s + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[x[at, 0]]), pa.array(ids[x[at, 1]])], ["a", "b"])
 
+    def run(it):
+        for batches in _whole_cells(it):
+            yield from each(batches)
+        _vec.trim()
+
     return run
 
 
@@ -446,8 +490,8 @@ def _fold(row, words):
 def _verify(bands):
     """Exact overlap of the pairs of a cell, whose documents' grams are in the same partition."""
 
-    def run(it):
-        ids, payload, x = _read(it)
+    def each(batches):
+        ids, payload, x = _read(batches)
         if not len(x):
             return
         sets = [np.frombuffer(v, np.uint64) for v in payload]
@@ -472,7 +516,12 @@ def _verify(bands):
         na, nb = size[x[:, 0]], size[x[:, 1]]
         ok = bands.enough(inter, na, nb)
         p, q = ids[x[ok, 0]], ids[x[ok, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(inter[ok] / (na + nb - inter)[ok])], ["doc_id_a", "doc_id_b", "jaccard"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(inter[ok] / (na + nb - inter)[ok])], ["a", "b", "jaccard"])
+
+    def run(it):
+        for batches in _whole_cells(it):
+            yield from each(batches)
+        _vec.trim()
 
     return run
 
@@ -507,39 +556,46 @@ def _cells(scratch, pairs):
 def _in_cells(placed, members, payloads, parts):
     """Each cell's pairs, and the payloads of its documents, in one partition."""
     rows = payloads.join(members, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "payload")
-    return rows.union(placed.select("cell", "a", "b", F.lit(None).cast("binary").alias("payload"))).repartition(parts, "cell")
+    return rows.union(placed.select("cell", "a", "b", F.lit(None).cast("binary").alias("payload"))).repartition(parts, "cell").sortWithinPartitions("cell")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of documents whose sets of distinct word `n`-grams have Jaccard >= `threshold`.
-
-    Result: `doc_id_a < doc_id_b, jaccard`. Documents with equal sets are one node, the smallest id of
-    them; each other one of them has one row, with that node and 1.0. Rows between nodes are complete.
-    The pairs of any two documents follow from these rows, whose number stays in proportion to exact
-    copies. Rows with a null id, or a null, empty or word-less text are in no pair. A text of under n
-    words has one gram, its whole word list. Rows that repeat an id never pair with themselves; if
-    their texts differ, the id has the pairs of either, with the greatest Jaccard. Other columns, of
-    whatever name, are not read. Empty input gives an empty result.
-    """
-    with arrow_rows(docs.sparkSession, 1000):
-        return _join(docs, n, threshold, id_col, text_col)
+class Links(NamedTuple):
+    """What the join knows, as tables in the shared folder."""
+
+    #: `(doc_id, n)`: every document and the size of its set; sets are told apart by `h1, h2`.
+    documents: DataFrame
+    #: `(h1, h2, node, size)`: sets that several documents have, the smallest id of them and their number.
+    copies: DataFrame
+    #: `(a, b, jaccard)`, a < b: different sets, each under its smallest id.
+    near: DataFrame
 
 
-def _join(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
-    bands = Bands(threshold)
-    scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = max(1, docs.count())
-    hot_df = max(32, isqrt(total) // 8)
-    summary = scratch.keep(texts.mapInArrow(_summarise(n, hot_df / total), "doc_id long, h1 long, h2 long, n long, sketch binary"))
+def links(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, scratch: Scratch) -> Links:
+    with arrow_rows(docs.sparkSession, 1000):
+        spark = docs.sparkSession
+        bands = Bands(threshold)
+        texts = docs.select(_columns.named(id_col).cast("long").alias("doc_id"), _columns.named(text_col).alias("text"))
+        total = max(1, docs.count())
+        hot_df = max(32, isqrt(total) // 8)
+        summary = scratch.keep(texts.mapInArrow(_summarise(n, hot_df / total), "doc_id long, h1 long, h2 long, n long, sketch binary"))
+        documents = summary.where("doc_id is not null")
+        described = documents.where("n > 0")
+        sets = described.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"))
+        copies = scratch.keep(sets.where("size > 1"))
+        if bands.t == 1:
+            near = spark.createDataFrame([], "a long, b long, jaccard double")
+        else:
+            near = _near(spark, scratch, texts, summary, described, bands, n, hot_df)
+        return Links(documents.select("doc_id", "h1", "h2", "n"), copies, near)
+
+
+def _near(spark, scratch, texts, summary, described, bands, n, hot_df) -> DataFrame:
     counts = summary.where("doc_id is null").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_df)
     hot = np.zeros(1 << 24, dtype=bool)
     hot[[r >> 40 & 0xFFFFFF for r in counts.orderBy(F.desc("n"), "h1").limit(HOT_MAX).toPandas()["h1"].tolist()]] = True
     hot_bits = spark.sparkContext.broadcast(np.packbits(hot))
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    described = summary.where("doc_id is not null")
     near_size = F.round(F.pow(F.lit(1.02), F.round(F.log(F.col("n")) / F.log(F.lit(1.02))))).cast("long")
     sizes = dict(tuple(r) for r in described.groupBy(near_size.alias("n")).count().collect())
     routes = bands.routes(sizes)
@@ -558,20 +614,62 @@ def _join(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str)
     else:
         some = texts.join(few, texts["doc_id"] == few["id"], "left_semi")
     grams = some.mapInArrow(_gram_rows(n, wanted), "id long, payload binary")
-    near = _in_cells(placed, members, grams, parts).mapInArrow(_verify(bands), "doc_id_a long, doc_id_b long, jaccard double")
+    near = _in_cells(placed, members, grams, parts).mapInArrow(_verify(bands), "a long, b long, jaccard double").where("a <> b")
+    return scratch.keep(near.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")))
+
+
+def _nodes(found: Links) -> DataFrame:
+    """`(doc_id, node, size)` of every document; one whose set nobody shares is its own node."""
+    copies = found.copies.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2")
+    same = (F.col("n") > 0) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    return found.documents.distinct().join(_small(copies), same, "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
 
-    sets = described.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id_a"), F.collect_set("doc_id").alias("ids"))
-    equal = sets.where(F.size("ids") > 1).select("doc_id_a", F.explode("ids").alias("doc_id_b")).where("doc_id_a <> doc_id_b").withColumn("jaccard", F.lit(1.0))
-    every = near.where("doc_id_a <> doc_id_b").union(equal)
-    return scratch.keep(every.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")))
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(doc_id_a, doc_id_b, jaccard)`, `doc_id_a < doc_id_b`: the join's pairs themselves.
+
+    Documents with equal sets are one node, the smallest id of them; each other one of them has one row, with
+    that node and 1.0. Rows between nodes are complete, so their number grows with the square of a family
+    of different texts. Inputs are read as `ngram_jaccard_join` reads them.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    found = links(docs, n, threshold, id_col, text_col, scratch)
+    equal = _nodes(found).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    every = found.near.union(equal).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    return scratch.finish(every.toDF("doc_id_a", "doc_id_b", "jaccard"))
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`(doc_id, class_id, n_links)`: one row for each document, of links with Jaccard >= `threshold`.
+
+    Two documents are linked if their sets of distinct word `n`-grams have that Jaccard. `n_links` counts the
+    documents that a document is linked to, copies among them; `class_id` is the smallest id that it is connected
+    to through links, its own if it has none. A text of under `n` words has one gram, its whole word list.
+    Null, empty and word-less texts are linked to nothing and have their row; rows with a null id have none. Rows that
+    repeat id and text are one; an id whose texts differ has a row for each different set. Ids are whole
+    numbers. Other columns, of whatever name, are not read. Empty input gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    found = links(docs, n, threshold, id_col, text_col, scratch)
+    weight = found.copies.groupBy("node").agg(F.sum("size").alias("weight"))
+    near = found.near.select("a", "b").union(found.near.select("b", "a")).toDF("node", "o")
+    weighed = near.join(_small(weight).withColumnRenamed("node", "o"), "o", "left").groupBy("node").agg(F.sum(F.coalesce("weight", F.lit(1).cast("long"))).alias("links"))
+    root = connected_components(found.near, "a", "b")
+    known = scratch.keep(weighed.join(root, "node"))
+    out = _nodes(found).join(_small(known), "node", "left")
+    return scratch.finish(out.select("doc_id", F.coalesce("root", "node").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with one document of each group of near duplicates: the one with the smallest id.
+    """`docs` with one document of each class: the one with the smallest id.
 
-    Groups are the connected components of the join's pairs. Documents in no pair stay, also those
-    with a null id or text. All columns are kept as they are.
+    Classes are those of `ngram_jaccard_join`. Documents without a link stay, also those with a null id or text.
+    All columns are kept as they are, whatever their names.
     """
-    pairs = ngram_jaccard_join(docs, n, threshold)
-    group = connected_components(pairs, "doc_id_a", "doc_id_b").where("node <> root")
-    return docs.join(group.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "duplicates")
+    found = links(docs, n, threshold, "doc_id", "text", scratch)
+    root = connected_components(found.near, "a", "b")
+    gone = _nodes(found).join(_small(scratch.keep(root)), "node", "left").where("doc_id <> coalesce(root, node)")
+    key = _columns.fresh(docs, "gone")
+    drop = scratch.finish(gone.select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(drop, F.col("doc_id").cast("long") == F.col(key), "left_anti").select(*_columns.every(docs))

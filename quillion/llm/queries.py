@@ -75,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+')"
 
 OP10 = rf"""
-WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {ngram_jaccard.N} THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - {ngram_jaccard.N - 2}), lambda i: array_to_string(w[i:i + {ngram_jaccard.N - 1}], ' ')) END)) AS g
       FROM w WHERE len(w) > 0),
@@ -85,9 +85,15 @@ hits AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS i
          FROM posts a JOIN posts b ON a.gram = b.gram AND a.node < b.node
            AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7
          GROUP BY ALL)
-SELECT a AS doc_id_a, b AS doc_id_b, i / (na + nb - i) AS jaccard FROM hits WHERE i * 10 >= (na + nb - i) * 7
-UNION ALL
-SELECT node, s.doc_id, 1.0::DOUBLE FROM sets JOIN s USING (g) WHERE s.doc_id <> node
+near AS (SELECT a, b FROM hits WHERE i * 10 >= (na + nb - i) * 7),
+size AS (SELECT node, count(DISTINCT s.doc_id) AS c FROM sets JOIN s USING (g) GROUP BY node),
+u AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach(node, seen) AS (SELECT node, node FROM sets UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.seen = u.a),
+root AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
+deg AS (SELECT a AS node, sum(c) AS links FROM u JOIN size ON size.node = u.b GROUP BY a)
+SELECT doc_id, root AS class_id, (c - 1 + coalesce(links, 0))::BIGINT AS n_links
+FROM (SELECT DISTINCT doc_id, g FROM s) JOIN sets USING (g) JOIN root USING (node) JOIN size USING (node) LEFT JOIN deg USING (node)
+UNION ALL SELECT DISTINCT doc_id, doc_id, 0 FROM documents WHERE doc_id IS NOT NULL AND coalesce(len({WORDS}), 0) = 0
 """
 
 

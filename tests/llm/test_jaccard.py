@@ -35,7 +35,7 @@ def brute(rows, t=0.7):
 
 def run(spark, rows, parts=3, **kw):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    return {(r.doc_id_a, r.doc_id_b): round(r.jaccard, 9) for r in nj.ngram_jaccard_join(df, **kw).collect()}
+    return {(r.doc_id_a, r.doc_id_b): round(r.jaccard, 9) for r in nj.similar_pairs(df, **kw).collect()}
 
 
 def corpus(seed, families=6, size=12):
@@ -69,8 +69,8 @@ def test_long_text_and_other_columns(spark):
     long = " ".join(f"t{r.randrange(5000)}" for _ in range(400_000))
     rows = [(1, long), (2, long.replace("t17 ", "u ")), (3, "short one here")]
     df = spark.createDataFrame([(i, x, 0, 0, i, "p") for i, x in rows], "doc_id long, text string, a int, b int, n long, payload string")
-    got = [(r.doc_id_a, r.doc_id_b) for r in nj.ngram_jaccard_join(df).collect()]
-    assert got == [(1, 2)]
+    got = sorted(tuple(r) for r in nj.ngram_jaccard_join(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
     kept = nj.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [1, 3]
 
@@ -140,5 +140,38 @@ def test_largest_sets_that_round_into_the_band_below(spark):
     assert number[bands.of(n)] >= 1 and begin[bands.of(n)] < number.sum()
     words = [f"w{i}" for i in range(n + 1)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"]))], "doc_id long, text string")
-    got = [tuple(r) for r in nj.ngram_jaccard_join(df).collect()]
+    got = [tuple(r) for r in nj.similar_pairs(df).collect()]
     assert got == [(1, 2, (n - 1) / (n + 1))]
+
+
+def classes(rows, t=0.7):
+    """`(doc_id, class_id, n_links)` by brute force, for ids with one text each."""
+    sets = {i: grams(x or "") for i, x in rows if i is not None}
+    linked = {i: {j for j, h in sets.items() if j != i and g and h and len(g & h) >= t * len(g | h)} for i, g in sets.items()}
+    out = []
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := linked[todo.pop()] - seen)
+            seen |= new
+        out.append((i, min(seen), len(linked[i])))
+    return sorted(out)
+
+
+def test_classes_and_links(spark):
+    rows = [*corpus(4), (900, None), (901, " "), (902, "alone here"), (None, "alone here"), (903, "alone here"), (902, "alone here")]
+    rows += [(950 + i, rows[0][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in nj.ngram_jaccard_join(df).collect()) == classes(rows)
+    left = sorted((r.doc_id is None, r.doc_id or 0) for r in nj.drop_near_duplicates(df).collect())
+    assert left == sorted([(True, 0), (False, 902), *((False, i) for i, c, _ in classes(rows) if i == c)])
+    assert nj.ngram_jaccard_join(df.limit(0)).collect() == []
+
+
+def test_clashing_columns_and_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(nj, "CELLS", 100)
+    rows = corpus(6)
+    df = spark.createDataFrame([(i, x, 1, 2, 3, 4) for i, x in rows], "doc_id long, text string, gone long, `a.b` long, node long, h1 long")
+    assert sorted(tuple(r) for r in nj.ngram_jaccard_join(df).collect()) == classes(rows)
+    kept = nj.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, c, _ in classes(rows) if i == c]
