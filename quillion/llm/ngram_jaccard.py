@@ -39,9 +39,11 @@ THRESHOLD = 0.7
 CHARS = 1 << 20
 COMMON = 4
 #: Sketches that are joined in one part, about.
-PART = 8_000_000
+PART = 12_000_000
 #: Sketches that are sorted at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
+#: Members of runs whose pairs are listed at once, about.
+BLOCK = 1_000_000
 #: Pairs that one pass over a part counts, about.
 PAIRS = 3_000_000
 #: Bytes of the cells that are verified at once, about; a cell is never split.
@@ -317,23 +319,29 @@ def _pairs_of_runs(docs, value, who, bands: Bands):
     length = length[length > 1]
     if not len(at):
         return
-    members = np.repeat(at - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
-    ends = np.repeat(at + length, length)
     # pairs are counted in as many passes as memory asks for, by the end with the smaller set hash, which is first in every run
     passes = int((length * (length - 1) // 2).sum() // PAIRS) + 1
+    blocks = np.append(np.flatnonzero(np.diff(np.cumsum(length) // BLOCK, prepend=-1)), len(length))
     for turn in range(passes):
-        own = slice(None) if passes == 1 else who[members] % passes == turn
-        keys, step, where, end = [], 1, members[own], ends[own]
-        while len(where):
-            inside = where + step < end
-            where, end = where[inside], end[inside]
-            x, y = where, where + step
-            ok = ~(low[x] & low[y])
-            a, b = who[x[ok]], who[y[ok]]
-            ok = bands.similar_sizes(docs["n"][a].astype(np.int64), docs["n"][b].astype(np.int64))
-            a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
-            keys.append((np.minimum(a, b) << 32) | np.maximum(a, b))
-            step += 1
+        keys = []
+        for first, last in zip(blocks[:-1].tolist(), blocks[1:].tolist()):
+            run, many = at[first:last], length[first:last]
+            where = (np.repeat(run - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))).astype(np.int32)
+            end = np.repeat(run + many, many).astype(np.int32)
+            if passes > 1:
+                own = who[where] % passes == turn
+                where, end = where[own], end[own]
+            step = 1
+            while len(where):
+                inside = where + step < end
+                where, end = where[inside], end[inside]
+                x, y = where, where + step
+                ok = ~(low[x] & low[y])
+                a, b = who[x[ok]], who[y[ok]]
+                ok = bands.similar_sizes(docs["n"][a].astype(np.int64), docs["n"][b].astype(np.int64))
+                a, b = a[ok].astype(np.int64), b[ok].astype(np.int64)
+                keys.append((np.minimum(a, b) << 32) | np.maximum(a, b))
+                step += 1
         if not keys:
             continue
         both, number = np.unique(np.concatenate(keys), return_counts=True)

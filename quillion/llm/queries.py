@@ -84,10 +84,10 @@ posts AS (SELECT node, n, unnest(g) AS gram FROM sets),
 hits AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS i
          FROM posts a JOIN posts b ON a.gram = b.gram AND a.node < b.node
            AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7
-         GROUP BY ALL)
-close AS (SELECT a, b FROM hits WHERE i * 10 >= (na + nb - i) * 7),
+         GROUP BY ALL),
+linked AS (SELECT a, b FROM hits WHERE i * 10 >= (na + nb - i) * 7),
 size AS (SELECT node, count(DISTINCT s.doc_id) AS c FROM sets JOIN s USING (g) GROUP BY node),
-u AS (SELECT a, b FROM close UNION SELECT b, a FROM close),
+u AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
 reach(node, seen) AS (SELECT node, node FROM sets UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.seen = u.a),
 root AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
 deg AS (SELECT a AS node, sum(c) AS links FROM u JOIN size ON size.node = u.b GROUP BY a)

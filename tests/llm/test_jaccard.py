@@ -79,6 +79,7 @@ def test_common_grams_weak_sets_and_passes(spark, monkeypatch):
     """Every path at once: all grams common, several parts a band, several passes a part."""
     monkeypatch.setattr(nj, "PART", 200)
     monkeypatch.setattr(nj, "PAIRS", 50)
+    monkeypatch.setattr(nj, "BLOCK", 30)
     monkeypatch.setattr(nj, "isqrt", lambda n: 0)
     rows = corpus(11, families=8, size=40)
     real = nj.max if hasattr(nj, "max") else max
