@@ -60,12 +60,15 @@ class Scratch:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most `rows` rows in what runs inside: long texts then take less memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_rows(spark: SparkSession, rows: int, megabytes: int = 4):
+    """Arrow batches of at most `rows` rows and about `megabytes` in what runs inside: long texts then take less memory."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": megabytes << 20}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, most in limits.items():
+        old = int(before[k].rstrip("b"))
+        spark.conf.set(k, str(min(most, old) if old > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, old in before.items():
+            spark.conf.set(k, old)
