@@ -251,8 +251,8 @@ def _emit(n, bands, hot_bits, routes):
                 used[w] = True
                 place = np.cumsum(used) - 1
                 rows.append((p, table[used].tobytes(), value[mine].tobytes(), place[w].astype(np.uint16).tobytes()))
-            for i in range(0, len(rows), 256):
-                some = list(zip(*rows[i : i + 256]))
+            for i in range(0, len(rows), 16):
+                some = list(zip(*rows[i : i + 16]))
                 yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), *(pa.array(x, pa.binary()) for x in some[1:])], ["part", "docs", "sketches", "places"])
 
         for ids, texts in _batches(it):
