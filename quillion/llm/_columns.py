@@ -21,3 +21,8 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with its columns named c0, c1 and so on, so that no name can clash with a helper's; undone by `toDF`."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

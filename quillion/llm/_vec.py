@@ -49,6 +49,17 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return word, lower
 
 
+@functools.cache
+def _lower_map() -> dict[int, int]:
+    lower = tables()[1]
+    return {int(i): int(lower[i]) for i in np.flatnonzero(lower != np.arange(len(lower)))}
+
+
+def fold(text: str) -> str:
+    """`text` in lower case, code point by code point, as the hashes of words have it."""
+    return text.translate(_lower_map())
+
+
 @functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm import _vec
+from quillion.llm import _columns, _vec
 
 N = 8
 #: Items under N words are looked up whole, if they have at least this many.
@@ -22,20 +22,32 @@ MIN_WORDS = 5
 #: A document of which this share of words is covered goes as a whole.
 DROP_SHARE = 0.5
 #: Largest number of benchmark n-grams that are broadcast.
-BROADCAST_GRAMS = 2_000_000
+BROADCAST_GRAMS = 500_000
 BITMAP = 27
 CHARS = 1 << 21
 _U = np.uint64
-_WORDS = r"[\p{L}\p{N}\p{M}]+"
+#: What the scan adds to columns that are numbered.
+ADDED = ("words", "cut", "items")
 
 
 def benchmark_grams(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct `(item_id, size, gram)`: windows of `n` words, or a shorter item whole if it has enough words."""
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_WORDS), F.lit(0))
-    items = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), words.alias("w"))
-    items = items.withColumn("size", F.least(F.size("w"), F.lit(n))).where(F.col("size") >= min(n, MIN_WORDS))
-    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.col("size")), " ")))
-    return items.select("item_id", "size", at.alias("gram")).distinct()
+
+    def run(it):
+        for batch in it:
+            rows = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                w = _vec.words([text])
+                words = [_vec.fold(text[a:z]) for a, z in zip(w.start.tolist(), w.end.tolist())]
+                size = min(n, len(words))
+                if size >= min(n, MIN_WORDS):
+                    rows += [(item, size, " ".join(words[i : i + size])) for i in range(len(words) - size + 1)]
+            c = list(zip(*rows)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string())], ["item_id", "size", "gram"])
+
+    item, text = _columns.named(id_col).cast("long").alias("item_id"), _columns.named(text_col).alias("text")
+    items = benchmark.select(item, text).where("text is not null and item_id is not null")
+    return items.mapInArrow(run, "item_id long, size int, gram string").distinct()
 
 
 def _hash(grams: list[str], n: int) -> np.ndarray:
@@ -47,10 +59,11 @@ def _hash(grams: list[str], n: int) -> np.ndarray:
 class _Set:
     """Grams by size: sorted hashes, texts and item lists."""
 
-    def __init__(self, rows):
+    def __init__(self, rows: pa.Table):
         by: dict[int, dict[str, list[int]]] = {}
-        for r in rows:
-            by.setdefault(r["size"], {}).setdefault(r["gram"], []).append(r["item_id"])
+        for batch in rows.to_batches(max_chunksize=10_000):
+            for item, size, gram in zip(*(c.to_pylist() for c in batch.columns)):
+                by.setdefault(size, {}).setdefault(gram, []).append(item)
         self.sizes = {}
         for n, grams in by.items():
             texts = list(grams)
@@ -65,7 +78,7 @@ class _Set:
             g = _vec.grams(hashes, n)
             place = np.minimum(np.searchsorted(known, g), len(known) - 1)
             for i in np.flatnonzero(known[place] == g).tolist():
-                words = " ".join(text[a:b].lower() for a, b in zip(start[i : i + n], end[i : i + n]))
+                words = " ".join(_vec.fold(text[a:b]) for a, b in zip(start[i : i + n], end[i : i + n]))
                 p = int(place[i])
                 while p < len(known) and known[p] == g[i]:
                     if texts[p] == words:
@@ -156,7 +169,7 @@ def _scan(shared, text_at: int, id_at: int, chars_at: int | None):
                 for i, t in changed.items():
                     n[i] = len(t)
                 columns[chars_at] = pa.array(n, columns[chars_at].type)
-            out = pa.RecordBatch.from_arrays(columns + [pa.array(n_words), pa.array(n_cut), pa.array(items)], names=[*batch.schema.names, "__words", "__cut", "__items"])
+            out = pa.RecordBatch.from_arrays(columns + [pa.array(n_words), pa.array(n_cut), pa.array(items)], names=[*batch.schema.names, *ADDED])
             yield out if keep.all() else out.filter(pa.array(keep))
 
     return run
@@ -172,7 +185,7 @@ def _find(shared, sizes):
     """Windows that may be in the set, by a bitmap only: (key, first, size, gram)."""
 
     def run(it):
-        table = np.unpackbits(shared.value).view(bool)
+        table = np.unpackbits(shared.value, bitorder="little").view(bool)
         for batch in it:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _vec.slices([len(t) for t in texts], CHARS):
@@ -185,7 +198,7 @@ def _find(shared, sizes):
                     for i, f in zip(at.tolist(), first.tolist()):
                         if w.doc[i] == w.doc[i + n - 1]:
                             t = texts[a + w.doc[i]]
-                            rows.append((keys[a + w.doc[i]], i - f, n, " ".join(t[x:y].lower() for x, y in zip(w.start[i : i + n], w.end[i : i + n]))))
+                            rows.append((keys[a + w.doc[i]], i - f, n, " ".join(_vec.fold(t[x:y]) for x, y in zip(w.start[i : i + n], w.end[i : i + n]))))
                 c = list(zip(*rows)) if rows else [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string())], ["key", "first", "size", "gram"])
 
@@ -217,38 +230,46 @@ def _apply(text_at: int, hits_at: int, chars_at: int | None):
                 columns[chars_at] = pa.array([len(texts[i]) if n_cut[i] else old[i] for i in range(m)], columns[chars_at].type)
             columns = [c for j, c in enumerate(columns) if j not in (hits_at, hits_at - 1)]
             names = [x for j, x in enumerate(batch.schema.names) if j not in (hits_at, hits_at - 1)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(n_words, pa.int64()), pa.array(n_cut, pa.int64()), pa.array(items, pa.string())], names=[*names, "__words", "__cut", "__items"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(n_words, pa.int64()), pa.array(n_cut, pa.int64()), pa.array(items, pa.string())], names=[*names, *ADDED]).filter(pa.array(keep))
 
     return run
 
 
-def _decontaminated(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_grams: int) -> DataFrame:
-    spark = docs.sparkSession
-    grams = benchmark_grams(benchmark, n)
-    extra = T.StructType([T.StructField("__words", T.LongType()), T.StructField("__cut", T.LongType()), T.StructField("__items", T.StringType())])
-    schema = T.StructType(docs.schema.fields + extra.fields)
-    text_at = docs.columns.index("text")
-    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    few = grams.limit(broadcast_grams + 1).collect()
-    if len(few) <= broadcast_grams:
-        return docs.mapInArrow(_scan(spark.sparkContext.broadcast(_Set(few)), text_at, 0, chars_at), schema)
-    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())
+def _bits_of(grams: DataFrame) -> np.ndarray:
+    """The bitmap of the grams' hashes, packed, low bits first; built in the executors in rows of 4 KB."""
 
     def used(it):
         for batch in it:
             for s in range(0, batch.num_rows, 50_000):
                 part = batch.slice(s, 50_000).to_pydict()
                 at = [_hash([g], z)[0] for g, z in zip(part["gram"], part["size"])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(at, dtype=np.uint64) >> _U(64 - BITMAP)).astype(np.int64))], ["bit"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.array(at, dtype=np.uint64) >> _U(64 - BITMAP)).astype(np.int64) + 1)], ["bit"])
 
-    table = np.zeros(1 << BITMAP, dtype=bool)
-    for r in grams.mapInArrow(used, "bit long").distinct().toLocalIterator():
-        table[r[0]] = True
-    keyed = docs.withColumn("__key", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
-    maybe = keyed.select("__key", "text").mapInArrow(_find(spark.sparkContext.broadcast(np.packbits(table)), sizes), "key string, first int, size int, gram string")
-    hits = maybe.distinct().join(grams, ["size", "gram"]).groupBy(F.col("key").alias("__key")).agg(F.collect_set(F.struct("first", "size", "item_id")).alias("__hits"))
-    joined = keyed.join(hits, "__key", "left").select(*docs.columns, "__key", "__hits")
-    return joined.mapInArrow(_apply(text_at, len(docs.columns) + 1, chars_at), schema)
+    rows = grams.select("size", "gram").mapInArrow(used, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    table = np.zeros(1 << (BITMAP - 3), dtype=np.uint8)
+    for r in rows.toLocalIterator():  # at most 2^BITMAP / 32768 rows
+        at = (r["bucket"] - 1) * 4096
+        table[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def _decontaminated(docs: DataFrame, benchmark: DataFrame, n: int, broadcast_grams: int) -> DataFrame:
+    """`docs` cleaned, its columns numbered, with those of `ADDED`."""
+    spark = docs.sparkSession
+    grams = benchmark_grams(benchmark, n)
+    own = _columns.numbered(docs)
+    schema = T.StructType([*own.schema.fields, *[T.StructField(c, t) for c, t in zip(ADDED, (T.LongType(), T.LongType(), T.StringType()))]])
+    text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    few = grams.limit(broadcast_grams + 1).toArrow()
+    if few.num_rows <= broadcast_grams:
+        return own.mapInArrow(_scan(spark.sparkContext.broadcast(_Set(few)), text_at, 0, chars_at), schema)
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())
+    keyed = own.withColumn("key", F.sha2(F.to_json(F.struct(*own.columns)), 256))
+    maybe = keyed.select("key", f"c{text_at}").mapInArrow(_find(spark.sparkContext.broadcast(_bits_of(grams)), sizes), "key string, first int, size int, gram string")
+    hits = maybe.distinct().join(grams, ["size", "gram"]).groupBy("key").agg(F.collect_set(F.struct("first", "size", "item_id")).alias("hits"))
+    joined = keyed.join(hits, "key", "left").select(*own.columns, "key", "hits")
+    return joined.mapInArrow(_apply(text_at, len(own.columns) + 1, chars_at), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -260,10 +281,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_g
     name, save `text` and `n_chars` of changed rows. Each row is handled by itself, so that
     repeated rows and null ids need no care. With an empty benchmark nothing changes.
     """
-    return _decontaminated(docs, benchmark, n, broadcast_grams).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _decontaminated(docs, benchmark, n, broadcast_grams).drop(*ADDED).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """`(doc_id, text, n_words, n_removed, items)` of the documents that stay; `items` lists benchmark ids."""
     out = _decontaminated(docs.select("doc_id", "text"), benchmark, n, broadcast_grams)
-    return out.select("doc_id", "text", F.col("__words").alias("n_words"), F.col("__cut").alias("n_removed"), F.col("__items").alias("items"))
+    return out.toDF("doc_id", "text", "n_words", "n_removed", "items")
