@@ -14,6 +14,7 @@ Entities are replaced by their kind in angle brackets.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillion.llm import _columns
+
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "SSN", "IBAN", "PERSON")
 ROUNDS = 30
 TRAINING_TEXTS = 1500
@@ -122,6 +124,18 @@ FEATURES = ("bias", *(k for k, _ in _SHAPES), "luhn", "issuer", "iban", "longdig
 _AT = {k: i for i, k in enumerate(FEATURES)}
 
 
+def _words_before(text: str):
+    """A function that gives the two whole words before a position, in lower case."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in words]
+
+    def before(at: int) -> list[str]:
+        i = bisect.bisect_left(starts, at)
+        return [text[a : min(b, at)].lower() for a, b in words[max(0, i - 2) : i]]
+
+    return before
+
+
 def luhn(s: str) -> bool:
     d = [int(c) for c in reversed(s)]
     return (sum(d[0::2]) + sum(x // 5 + 2 * x % 10 for x in d[1::2])) % 10 == 0
@@ -302,11 +316,12 @@ class Graph:
                 if m.group().rstrip(".") in names and m.start() not in spans:
                     spans[m.start()] = (m.end() - m.group().endswith("."), False)
         mentions: dict[str, int] = {}
+        words_before = _words_before(text) if spans else None
         last = -1
         for a in sorted(spans):
             b, address = spans[a]
             core, i = text[a:b], len(self.doc)
-            before = [w.lower() for w in _WORD.findall(text[max(0, of.get(a, a) - 24) : of.get(a, a)])[-2:]]
+            before = words_before(of.get(a, a))
             self.doc.append(number)
             self.start.append(a)
             self.end.append(b)
@@ -525,7 +540,8 @@ def _masked(docs: DataFrame) -> DataFrame:
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     crf = docs.sparkSession.sparkContext.broadcast(model())
-    schema = T.StructType([*docs.schema.fields, T.StructField("__found", T.StringType())])
+    own = _columns.numbered(docs)
+    schema = T.StructType([*own.schema.fields, T.StructField("found", T.StringType())])
 
     def run(it):
         for batch in it:
@@ -545,9 +561,9 @@ def _masked(docs: DataFrame) -> DataFrame:
                 columns[text_at] = pa.array([new.get(i, t) for i, t in enumerate(texts.to_pylist())], texts.type)
                 if chars_at is not None:
                     columns[chars_at] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(columns[chars_at].to_pylist())], columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(said)], names=[*batch.schema.names, "__found"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(said)], names=[*batch.schema.names, "found"])
 
-    return docs.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
@@ -557,9 +573,9 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     and the same text always gives the same result. Other columns, of whatever name, stay as they are. Empty input
     gives an empty result.
     """
-    return _masked(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _masked(docs).drop("found").toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """`(doc_id, text, found)`: masked text, and what was found as `KIND:count` joined by commas."""
-    return _masked(docs.select("doc_id", "text")).select("doc_id", "text", F.col("__found").alias("found"))
+    return _masked(docs.select("doc_id", "text")).toDF("doc_id", "text", "found")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillion.llm import _columns
+
 #: A line ends like a sentence, closing quotes and brackets aside.
 END = r"[.!?…。！？:;][\"'”’»)\]]*$"
 #: Navigation: three or more separators, or a lone menu arrow.
@@ -70,16 +72,14 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     repeated rows stay or go together; a null id changes nothing. All other columns stay as they are,
     whatever their names. Empty input gives an empty result.
     """
-    judged = docs.select("*", F.explode(_judged(docs[text_col])).alias("__judged"))
-    return judged.select(
-        *[
-            F.col("__judged.text").alias(c) if c == text_col else F.length("__judged.text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
-            for c in docs.columns
-        ]
-    )
+    own = _columns.numbered(docs)
+    judged = own.select("*", F.explode(_judged(F.col(f"c{docs.columns.index(text_col)}"))).alias("judged"))
+    new = {text_col: F.col("judged.text"), "n_chars": F.length("judged.text")}
+    kept = [new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"c{i}") for i, c in enumerate(docs.columns)]
+    return judged.select(*kept).toDF(*docs.columns)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, text, n_lines, n_kept, n_chars, n_left)` of the documents that pass."""
-    judged = docs.select(F.col(id_col).alias("doc_id"), F.explode(_judged(F.col(text_col))).alias("j"))
+    judged = docs.select(_columns.named(id_col).alias("doc_id"), F.explode(_judged(_columns.named(text_col))).alias("j"))
     return judged.select("doc_id", "j.*")
