@@ -35,7 +35,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = warc.resolve(warc.from_pages(_table(spark, sf_dir, "pages")))
+    """Every page as a capture, and those with an id divisible by four captured again, unchanged, as revisit records."""
+    pages = _table(spark, sf_dir, "pages")
+    resolved = warc.resolve(warc.from_pages(pages).union(warc.captured_again(pages)))
     return resolved.select("page_id", "record_id", "uri", "date", "digest", "state", "original_id", "header", F.decode("payload", "UTF-8").alias("payload"))
 
 
@@ -144,11 +146,13 @@ FROM j WHERE len(cut) < {_D.DROP_SHARE} * len(w) OR len(cut) = 0
 
 
 OP6 = rf"""
-WITH r AS (SELECT page_id, 'urn:page:' || coalesce(page_id::VARCHAR, 'null') AS record_id, html IS NULL AS revisit, coalesce(url, '') AS uri,
-             strftime(to_timestamp({warc.EPOCH} + coalesce(page_id, 0)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS date,
-             'sha1:' || sha1(coalesce(html, url, '')) AS digest, html FROM pages),
-g AS (SELECT digest, min({{'d': date, 'i': record_id, 'u': uri}}) FILTER (NOT revisit) AS f, count(*) AS n FROM r GROUP BY digest),
-s AS (SELECT r.*, g.f, CASE WHEN NOT revisit AND {{'d': date, 'i': record_id, 'u': uri}} = g.f THEN 'original' WHEN g.f IS NOT NULL THEN 'revisit' ELSE 'unresolved' END AS state
+WITH once AS (SELECT page_id, 'urn:page:' || coalesce(page_id::VARCHAR, 'null') AS record_id, html IS NULL AS revisit, coalesce(url, '') AS uri,
+             {warc.EPOCH} + coalesce(page_id, 0) AS secs, 'sha1:' || sha1(coalesce(html, url, '')) AS digest, html FROM pages),
+every AS (SELECT * FROM once UNION ALL SELECT page_id, record_id || ':again', true, uri, secs + 86400, digest, NULL FROM once WHERE page_id % 4 = 0),
+r AS (SELECT * EXCLUDE (secs), strftime(to_timestamp(secs) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS date,
+        row_number() OVER (PARTITION BY digest, revisit ORDER BY secs, record_id, uri, page_id) AS place FROM every),
+g AS (SELECT digest, min({{'d': date, 'i': record_id, 'u': uri}}) FILTER (NOT revisit AND place = 1) AS f FROM r GROUP BY digest),
+s AS (SELECT r.*, g.f, CASE WHEN NOT revisit AND place = 1 THEN 'original' WHEN g.f IS NOT NULL THEN 'revisit' ELSE 'unresolved' END AS state
       FROM r JOIN g USING (digest)),
 p AS (SELECT *, CASE WHEN state = 'original' THEN html ELSE '' END AS payload, chr(13) || chr(10) AS nl FROM s)
 SELECT page_id, record_id, uri, date, digest, state, CASE WHEN state = 'revisit' THEN f.i END AS original_id,
@@ -165,9 +169,9 @@ OP9 = r"""
 WITH t AS (SELECT conv_id, turn, role, replace(replace(coalesce(text, ''), '<|im_', '<||im_'), chr(13) || chr(10), chr(10)) AS text
            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
-s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE lower(trim(role)) <> 'system'),
 p AS (SELECT n.conv_id, speaker, i, role = speaker AS own,
-        '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+        '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN lower(trim(role)) = 'system' THEN 'system' ELSE 'user name=' || regexp_replace(replace(replace(role, '<|im_', '<||im_'), chr(13) || chr(10), chr(10)), '[\r\n\x{85}\x{2028}\x{2029}]+', ' ', 'g') END || chr(10) AS head,
         text || '<|im_end|>' || chr(10) AS body FROM n JOIN s USING (conv_id)),
 o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM p)
 SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || body, '' ORDER BY i) AS text,

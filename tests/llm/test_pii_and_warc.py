@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quillion.llm import pii_crf, warc
 
@@ -104,11 +106,12 @@ def resolved(rows):
     for i, k, u, d, g, *_ in rows:
         if k == "response" and g is not None:
             first[g] = min(first.get(g, (d, i, u)), (d, i, u))
-    out = []
+    out, taken = [], set()
     for i, k, u, d, g, p, *_ in rows:
         if k not in ("response", "revisit") or g is None:
             out.append((i, "other", None, bytes(p or b"")))
-        elif k == "response" and first[g] == (d, i, u):
+        elif k == "response" and first[g] == (d, i, u) and g not in taken:
+            taken.add(g)
             out.append((i, "original", None, bytes(p or b"")))
         elif g in first:
             out.append((i, "revisit", first[g][1], b""))
@@ -117,14 +120,19 @@ def resolved(rows):
     return sorted(out, key=str)
 
 
-def test_revisits_against_brute_force(spark):
+@pytest.mark.parametrize("few", [warc.FEW, 0])
+def test_revisits_against_brute_force(spark, few, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
     r = random.Random(0)
     rows = [(f"id{i}", r.choice(["response", "response", "revisit"]), f"u{r.randint(0, 5)}", f"2020-01-{r.randint(10, 20)}", f"sha1:{r.randint(0, 25)}", f"body{i}".encode(), "n", "s") for i in range(120)]
     rows += [("w", "warcinfo", "", "2020-01-01", None, b"info", "n", "s"), ("nd", "response", "u", "2020-01-01", None, b"x", "n", "s"), ("np", "response", "u", "2020-01-01", "sha1:e", None, "n", "s"), ("lone", "revisit", "u", "2020-01-01", "sha1:none", None, "n", "s")]
     rows += [("tie", "response", "u", "2020-01-01", "sha1:t", b"t", "n", "s")] * 2
-    out = warc.resolve(records(spark, rows).repartition(4))
+    out = warc.resolve(records(spark, rows).repartition(4), few)
     assert sorted(((x.record_id, x.state, x.original_id, bytes(x.payload)) for x in out.collect()), key=str) == resolved(rows)
     assert "note" in out.columns and out.columns.count("state") == 1
+    clash = records(spark, rows).toDF("record_id", "type", "uri", "date", "digest", "payload", "first", "a.b").withColumn("c0", F.create_map(F.lit("k"), F.lit(1))).withColumn("key", F.lit(None))
+    out = warc.resolve(clash.withColumn("__digest", F.lit(1)), few)
+    assert {"first", "a.b", "c0", "key", "__digest"} <= set(out.columns) and out.groupBy("state").count().where("state = 'original'").first()["count"] == len([x for x in resolved(rows) if x[1] == "original"])
     assert warc.resolve(records(spark, [])).count() == 0
 
 
@@ -148,6 +156,13 @@ def test_parsing_plain_and_broken_files():
     assert len(warc.parse(gzip.compress(one) + gzip.compress(one)[:-20])) == 1
 
 
+def test_pages_captured_again(spark):
+    df = spark.createDataFrame([(0, "u0", "a"), (4, "u1", "a"), (8, "u2", None), (3, "u", "x"), (None, "u", "y")], "page_id long, url string, html string")
+    got = {r.record_id: (r.state, r.original_id) for r in warc.resolve(warc.from_pages(df).union(warc.captured_again(df))).collect()}
+    assert got["urn:page:0:again"] == got["urn:page:4:again"] == got["urn:page:4"] == ("revisit", "urn:page:0")
+    assert got["urn:page:8"] == got["urn:page:8:again"] == ("unresolved", None) and got["urn:page:null"][0] == "original" and len(got) == 8
+
+
 def test_pages_as_records(spark):
     df = spark.createDataFrame([(0, "u0", "same"), (1, "u1", "same"), (2, "u2", None), (3, None, "x"), (None, "u", "same")], "page_id long, url string, html string")
     got = {r.page_id: (r.state, r.original_id) for r in warc.resolve(warc.from_pages(df)).collect()}
