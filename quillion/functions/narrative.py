@@ -120,4 +120,4 @@ def _kept(texts: pd.Series) -> pd.Series:
 
 def narrative(raw: Column) -> Column:
     """The comparison form of what `raw` tells; only texts that may have scaffolding leave the JVM."""
-    return normalize_comparable(F.when(raw.rlike(MAYBE), _kept(F.when(raw.rlike(MAYBE), raw))).otherwise(raw))
+    return normalize_comparable(F.coalesce(_kept(F.when(raw.rlike(MAYBE), raw)), raw))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 MIN_LINES, MIN_WORDS = 2, 8
 SHINGLE = 3
+#: What a text or line must have for the comparison form to differ from the counting form.
+_SIGNS = "[<>=]|-[0-9]"
 _MINUS, _BANG = "\ue000", "\ue001"
 
 
@@ -25,11 +27,6 @@ def normalize(c: Column) -> Column:
     return F.trim(_lower(F.regexp_replace(c, f"[^{ALNUM}]+", " ")))
 
 
-def normalize_ascii_marks(c: Column) -> Column:
-    """The corpus tool's form: like `normalize`, but combining marks separate words."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-
-
 def _comparable_line(line: Column) -> Column:
     line = F.translate(line, _MINUS + _BANG, "")
     line = F.regexp_replace(line, f"(?<![{ALNUM}])-(?=[0-9])", _MINUS)
@@ -46,8 +43,12 @@ def normalize_comparable(c: Column) -> Column:
     Only in lines that have a letter or number; `>` only behind one, `!` only before `=`, `-` only before a
     digit and not behind a letter or number.
     """
-    lines = F.transform(F.split(c, "\r?\n"), lambda x: F.when(x.rlike(f"[{ALNUM}]"), _comparable_line(x)).otherwise(F.lit("")))
-    return _collapse(_lower(F.array_join(lines, " ")))
+
+    def form(x: Column) -> Column:
+        lines = F.transform(F.split(x, "\r?\n"), lambda y: F.when(y.rlike(f"[{ALNUM}]"), F.when(y.rlike(_SIGNS), _comparable_line(y)).otherwise(F.regexp_replace(y, f"[^{ALNUM}]+", " "))).otherwise(F.lit("")))
+        return F.when(x.rlike(_SIGNS), _collapse(_lower(F.array_join(lines, " ")))).otherwise(normalize(x))
+
+    return _bound(c, form)
 
 
 def words(c: Column) -> Column:
@@ -82,6 +83,17 @@ def shingles(w: Column, k: int = SHINGLE) -> Column:
     return _bound(w, lambda x: _runs(x, k))
 
 
+def shingle_hashes(w: Column, k: int = SHINGLE, short: bool = False) -> Column:
+    """Distinct 64-bit hashes of the runs of `k` words; with `short`, a shorter text that has words is one run.
+
+    Words are hashed once, and runs from the hashes of their words, so no run is built as a string.
+    """
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+    none = F.array().cast("array<bigint>")
+    few = lambda h: F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none) if short else none
+    return _bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= k, F.array_distinct(runs(h))).otherwise(few(h)))
+
+
 def corpus_shingles(w: Column, k: int = SHINGLE) -> Column:
     """As `shingles`, but a shorter text is one short gram."""
     return _bound(w, lambda x: F.when((F.size(x) < k) & (F.size(x) > 0), F.array(F.array_join(x, " "))).otherwise(_runs(x, k)))

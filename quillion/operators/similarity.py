@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillion.functions.text import SHINGLE, address, cluster_message, large_enough, path_key, shingles, words
+from quillion.functions.text import SHINGLE, address, cluster_message, large_enough, path_key, shingle_hashes, shingles, words
 from quillion.operators.components import connected_components
 from quillion.plans.scratch import Scratch
 
@@ -18,30 +18,32 @@ THRESHOLD = 0.75
 
 
 def end() -> Column:
-    """A block's identity, in the order of members: path by components, lines, kind, narrative."""
-    return F.struct(path_key(F.col("path")).alias("key"), "line_start", "line_end", "kind_rank", "narrative", "path", "kind")
+    """A block's identity, in the order of members: path by components, lines, kind, and the narrative by its digest."""
+    return F.struct(path_key(F.col("path")).alias("key"), "line_start", "line_end", "kind_rank", "nid", "path", "kind")
 
 
 def candidates_floor(blocks: DataFrame) -> DataFrame:
     """Blocks that can be duplicates: two lines, eight words, three narrative words."""
     large = blocks.where(large_enough(F.col("size_lines"), F.col("size_words")))
-    return large.where(F.size(words(F.col("narrative"))) >= SHINGLE)
+    # the generator binds the narrative, which is dear, once for the filter and what follows
+    once = large.select(*[c for c in large.columns if c != "narrative"], F.explode(F.array("narrative")).alias("narrative"))
+    return once.where(F.size(words(F.col("narrative"))) >= SHINGLE)
 
 
 def nodes(blocks: DataFrame) -> DataFrame:
-    """`(nid, narrative, ends, first, n_blocks)`: one row for each narrative; equal ends are one."""
+    """`(nid, narrative, ends, first, n_blocks)`: one row for each narrative, told apart by 128 bits; equal ends are one."""
     return (
         candidates_floor(blocks)
-        .groupBy("narrative")
-        .agg(F.array_sort(F.collect_set(end())).alias("ends"), F.count("*").alias("n_blocks"))
-        .select(F.xxhash64("narrative").alias("nid"), "narrative", "ends", F.col("ends")[0].alias("first"), "n_blocks")
+        .select(F.unhex(F.md5("narrative")).alias("nid"), "narrative", "path", "kind", "kind_rank", "line_start", "line_end")
+        .groupBy("nid")
+        .agg(F.first("narrative").alias("narrative"), F.array_sort(F.collect_set(end())).alias("ends"), F.count("*").alias("n_blocks"))
+        .select("nid", "narrative", "ends", F.col("ends")[0].alias("first"), "n_blocks")
     )
 
 
 def gram_sets(groups: DataFrame) -> DataFrame:
     """`(nid, n, grams)`: hashes of each node's distinct shingles."""
-    grams = F.transform(shingles(words(F.col("narrative"))), lambda g: F.xxhash64(g))
-    return groups.select("nid", grams.alias("grams")).select("nid", F.size("grams").alias("n"), "grams")
+    return groups.select("nid", F.explode(F.array(shingle_hashes(words(F.col("narrative"))))).alias("grams")).select("nid", F.size("grams").alias("n"), "grams")
 
 
 def prefix_candidates(sets: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillion.functions.text import MIN_LINES, MIN_WORDS, corpus_shingles, jaccard, words
+from quillion.functions.text import MIN_LINES, MIN_WORDS, jaccard, shingle_hashes, words
 from quillion.operators import similarity
+from quillion.plans.scratch import Scratch
 
 MAX_DF = 40
 THRESHOLDS = (0.5, 0.6, 0.75, 0.9, 1.0)
@@ -76,19 +77,37 @@ def exact_groups(blocks: DataFrame) -> DataFrame:
 
 def postings(blocks: DataFrame) -> DataFrame:
     """`(doc_id, gram, df)`: distinct shingles with the number of blocks that have each."""
-    posts = blocks.select("doc_id", F.explode(F.transform(corpus_shingles(words(F.col("normalized"))), lambda g: F.xxhash64(g))).alias("gram"))
+    posts = blocks.select("doc_id", F.explode(shingle_hashes(words(F.col("normalized")), short=True)).alias("gram"))
     df = posts.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     return posts.join(df, "gram")
 
 
-def scored_pairs(blocks: DataFrame, max_df: int = MAX_DF) -> DataFrame:
-    """`(l, r, score, lines, words)`: pairs of different texts that share a shingle of at most `max_df` blocks."""
-    posts = postings(blocks).where(F.col("df") <= max_df).select("doc_id", "gram")
-    pairs = posts.toDF("l", "gram").join(posts.toDF("r", "gram"), "gram").where("l < r").select("l", "r").distinct()
-    sets = blocks.select("doc_id", "normalized", "size_lines", "size_words", F.transform(corpus_shingles(words(F.col("normalized"))), lambda g: F.xxhash64(g)).alias("g"))
-    a, b = sets.toDF("l", "ta", "la", "wa", "ga"), sets.toDF("r", "tb", "lb", "wb", "gb")
-    both = pairs.join(a, "l").join(b, "r").where("ta <> tb")
-    return both.select("l", "r", jaccard(F.col("ga"), F.col("gb")).alias("score"), F.least("la", "lb").alias("lines"), F.least("wa", "wb").alias("words"))
+def scored_pairs(blocks: DataFrame, max_df: int = MAX_DF, least: float = 0.0) -> DataFrame:
+    """`(l, r, score, lines, words)`: pairs of different texts that share a shingle of at most `max_df` blocks.
+
+    Those with a score under `least` are left out, most of them before they are scored: what a pair may share is
+    bounded by the rare shingles that it does share and the common ones that each has.
+    """
+    scratch = Scratch(blocks.sparkSession, "pairs")
+    digest = F.unhex(F.md5("normalized")).alias("t")
+    bound = blocks.select("doc_id", digest, "size_lines", "size_words", F.explode(F.array(shingle_hashes(words(F.col("normalized")), short=True))).alias("g"))
+    sets = scratch.keep(bound.withColumn("n", F.size("g")))
+    posts = sets.select("doc_id", "n", F.explode("g").alias("gram"))
+    df = posts.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    posts = scratch.keep(posts.join(df, "gram"))
+    common = posts.where(F.col("df") > max_df).groupBy("doc_id").agg(F.count("*").alias("h"))
+    rare = posts.where(F.col("df") <= max_df).select("doc_id", "n", "gram")
+    sizes = F.least("nl", "nr") >= F.greatest("nl", "nr") * least
+    pairs = rare.toDF("l", "nl", "gram").join(rare.toDF("r", "nr", "gram"), "gram").where("l < r").where(sizes)
+    shared = pairs.groupBy("l", "r", "nl", "nr").agg(F.count("*").alias("i"))
+    if least > 0:
+        hl, hr = common.toDF("l", "hl"), common.toDF("r", "hr")
+        most = F.col("i") + F.least(F.coalesce("hl", F.lit(0)), F.coalesce("hr", F.lit(0)))
+        shared = shared.join(hl, "l", "left").join(hr, "r", "left").where(most >= (F.col("nl") + F.col("nr") - most) * (least - 1e-9))
+    a, b = sets.select("doc_id", "t", "size_lines", "size_words", "g").toDF("l", "ta", "la", "wa", "ga"), sets.select("doc_id", "t", "size_lines", "size_words", "g").toDF("r", "tb", "lb", "wb", "gb")
+    both = shared.select("l", "r").join(a, "l").join(b, "r").where("ta <> tb")
+    scored = both.select("l", "r", jaccard(F.col("ga"), F.col("gb")).alias("score"), F.least("la", "lb").alias("lines"), F.least("wa", "wb").alias("words"))
+    return scored.where(F.col("score") >= least) if least > 0 else scored
 
 
 def inspect_findings(blocks: DataFrame) -> DataFrame:
@@ -97,8 +116,8 @@ def inspect_findings(blocks: DataFrame) -> DataFrame:
     Exact: the prefix join stands in for the capped index, so common shingles hide no pair. Rows grow with the
     square of a family's size. `blocks` is read more than once.
     """
-    large = blocks.where((F.col("size_lines") >= MIN_LINES) & (F.col("size_words") >= MIN_WORDS)).select("doc_id", F.xxhash64("normalized").alias("nid"), "normalized")
-    grams = F.transform(corpus_shingles(words(F.col("normalized"))), lambda g: F.xxhash64(g))
+    large = blocks.where((F.col("size_lines") >= MIN_LINES) & (F.col("size_words") >= MIN_WORDS)).select("doc_id", F.unhex(F.md5("normalized")).alias("nid"), "normalized")
+    grams = shingle_hashes(words(F.col("normalized")), short=True)
     sets = large.dropDuplicates(["nid"]).select("nid", grams.alias("grams")).select("nid", F.size("grams").alias("n"), "grams")
     a, b = large.select(F.col("doc_id").alias("x"), F.col("nid").alias("l")), large.select(F.col("doc_id").alias("y"), F.col("nid").alias("r"))
     near = similarity.near_edges(sets).join(a, "l").join(b, "r").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"), "score")
@@ -110,7 +129,7 @@ def _grid(blocks: DataFrame, cutoffs: list[tuple[int, int]]) -> DataFrame:
     spark = blocks.sparkSession
     grid = F.broadcast(spark.createDataFrame([(a, b, t) for a, b in cutoffs for t in THRESHOLDS], "min_lines int, min_words int, threshold double"))
     exact = exact_groups(blocks).select(F.lit(1.0).alias("score"), F.col("size_lines").alias("lines"), F.col("size_words").alias("words"), "pairs")
-    every = scored_pairs(blocks).where(F.col("score") >= min(THRESHOLDS)).select("score", "lines", "words", F.lit(1).cast("long").alias("pairs")).union(exact)
+    every = scored_pairs(blocks, least=min(THRESHOLDS)).select("score", "lines", "words", F.lit(1).cast("long").alias("pairs")).union(exact)
     kinds = every.groupBy("score", "lines", "words").agg(F.sum("pairs").alias("pairs"))
     hit = grid.join(kinds, (F.col("score") >= F.col("threshold")) & (F.col("lines") >= F.col("min_lines")) & (F.col("words") >= F.col("min_words")), "left")
     return hit.groupBy("min_lines", "min_words", "threshold").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))

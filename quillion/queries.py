@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -205,7 +207,7 @@ def suppressed_clusters(spark, sf):
 
 @_query(
     r"""WITH l AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '# !TPX001,TPX003' WHEN 1 THEN '  # !  TPX* because' WHEN 2 THEN '# !TPX002,,TPX77' WHEN 3 THEN '#!TPX001' WHEN 4 THEN '# !important: x'
-  WHEN 5 THEN '# !tpx1' WHEN 6 THEN '# see TPX003 here' ELSE left(text, 20) END AS line FROM documents),
+  WHEN 5 THEN '# !tpx1' WHEN 6 THEN '# see TPX003 here' ELSE string_split(text, chr(10))[1] END AS line FROM documents),
 t AS (SELECT *, list_filter(string_split(regexp_extract(line, '^\s*#\s+!\s*(\S+)', 1), ','), lambda x: x <> '') AS ts FROM l),
 m AS (SELECT *, len(ts) > 0 AND (ts[1] = 'TPX*' OR regexp_full_match(ts[1], '(?i)TPX[0-9]+')) AS marker FROM t)
 SELECT doc_id, marker AND list_contains(ts, 'TPX*') AS all, CASE WHEN marker THEN array_to_string(list_filter(ts, lambda x: x IN ('TPX001', 'TPX002', 'TPX003')), ',') ELSE '' END AS codes,
@@ -215,7 +217,7 @@ SELECT doc_id, marker AND list_contains(ts, 'TPX*') AS all, CASE WHEN marker THE
 def suppression_markers(spark, sf):
     line = F.expr(
         "CASE doc_id % 8 WHEN 0 THEN '# !TPX001,TPX003' WHEN 1 THEN '  # !  TPX* because' WHEN 2 THEN '# !TPX002,,TPX77' WHEN 3 THEN '#!TPX001' WHEN 4 THEN '# !important: x' "
-        "WHEN 5 THEN '# !tpx1' WHEN 6 THEN '# see TPX003 here' ELSE left(text, 20) END"
+        "WHEN 5 THEN '# !tpx1' WHEN 6 THEN '# see TPX003 here' ELSE split_part(text, chr(10), 1) END"
     )
     lines = _read(spark, sf, "documents").select("doc_id", line.alias("line"))
     s = markers.suppression(F.col("line"))
@@ -279,7 +281,7 @@ def capped_shingles(spark, sf):
 
 @_query(f"WITH {B}, {_EXACT}, {_PAIRS} SELECT l, r, score FROM sp WHERE score >= 0.75 AND lines >= 2 AND words >= 8")
 def inspect_pairs(spark, sf):
-    return stats.scored_pairs(_kept(spark, _blocks(spark, sf).drop("narrative"))).where("score >= 0.75 and lines >= 2 and words >= 8").select("l", "r", "score")
+    return stats.scored_pairs(_kept(spark, _blocks(spark, sf).drop("narrative")), least=0.75).where("score >= 0.75 and lines >= 2 and words >= 8").select("l", "r", "score")
 
 
 @_query()
@@ -513,23 +515,20 @@ def rules(spark, sf):
     return spark.createDataFrame([("TPX001", "comment over the word limit"), ("TPX002", "docstring over the word limit"), ("TPX003", "same explanation in several places")], "code string, title string")
 
 
+def _ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype=float)
+
+
 @_query()
 def difflib_agreement(spark, sf):
     """How often two similarities agree at 0.75, over a uniform sample of candidate pairs."""
-    import difflib
-
-    import pandas as pd
-
     blocks = _kept(spark, _blocks(spark, sf).drop("narrative"))
     pairs = _kept(spark, stats.scored_pairs(blocks).withColumn("key", F.struct("l", "r")))
     sample = evaluate.uniform_sample(pairs, "key", 2000)
     a, b = blocks.select(F.col("doc_id").alias("l"), F.col("normalized").alias("ta")), blocks.select(F.col("doc_id").alias("r"), F.col("normalized").alias("tb"))
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype=float)
-
-    both = sample.join(a, "l").join(b, "r").select((F.col("score") >= 0.75).alias("j"), (ratio("ta", "tb") >= 0.75).alias("d"))
+    ratio = F.pandas_udf(_ratio, "double")
+    both = adapters.spread(sample.join(a, "l").join(b, "r")).select((F.col("score") >= 0.75).alias("j"), (ratio("ta", "tb") >= 0.75).alias("d"))
     return both.agg(
         F.count_if(F.col("j") & F.col("d")).alias("both"), F.count_if(F.col("j") & ~F.col("d")).alias("jaccard_only"), F.count_if(~F.col("j") & F.col("d")).alias("difflib_only")
     )
