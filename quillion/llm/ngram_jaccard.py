@@ -39,15 +39,15 @@ THRESHOLD = 0.7
 CHARS = 1 << 20
 COMMON = 4
 #: Sketches that are joined in one part, about.
-PART = 12_000_000
+PART = 6_000_000
 #: Sketches that are sorted at once.
-SLICE = 1_000_000
+SLICE = 500_000
 #: Members of runs whose pairs are listed at once, about.
-BLOCK = 1_000_000
+BLOCK = 400_000
 #: Pairs that one pass over a part counts, about.
-PAIRS = 3_000_000
+PAIRS = 1_500_000
 #: Bytes of the cells that are verified at once, about; a cell is never split.
-CELLS = 16 << 20
+CELLS = 8 << 20
 HOT_MAX = 1 << 21
 FILTER_MAX = 1 << 22
 _U = np.uint64
@@ -285,8 +285,12 @@ def _emit(n, bands, hot_bits, routes):
     return run
 
 
-def _pairs_of_runs(docs, value, who, bands: Bands):
-    """Pairs of different sets that share sketches, each set under its smallest document, and how many they share."""
+def _pairs_of_runs(docs, sketches: list, bands: Bands):
+    """Pairs of different sets that share sketches, each set under its smallest document, and how many they share.
+
+    `sketches` holds the arrays of sketches and documents, and is emptied, so that they don't outlive their use.
+    """
+    value, who = sketches.pop()
     slices = len(value) // SLICE + 1
     kept: list[tuple] = []
     for turn in range(slices):
@@ -312,7 +316,7 @@ def _pairs_of_runs(docs, value, who, bands: Bands):
         more[:-1] |= more[1:].copy()
         kept.append((sig[more], w[more], bit[more]))
     sig, who, low = (np.concatenate(x) for x in zip(*kept))
-    del kept, value
+    del kept, value, key, v, mine, w, h, bit, order, first, more, shared, same
     cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
     length = np.diff(cut)
     at = cut[:-1][length > 1]
@@ -358,10 +362,17 @@ def _candidates(bands, whole):
             blobs = by_part.popitem()[1]
             shift = np.concatenate(([0], np.cumsum([len(d) for d, _, _ in blobs])[:-1]))
             docs = np.concatenate([d for d, _, _ in blobs])
-            who = np.concatenate([w.astype(np.int32) + np.int32(x) for (_, _, w), x in zip(blobs, shift)])
-            value = np.concatenate([s for _, s, _ in blobs])
-            del blobs
-            for a, b, number in _pairs_of_runs(docs, value, who, bands):
+            n = sum(len(s) for _, s, _ in blobs)
+            sketches, at = [(np.empty(n, np.uint32), np.empty(n, np.int32))], 0
+            for i in range(len(blobs)):  # each is let go as soon as it is copied
+                _, s, w = blobs[i]
+                blobs[i] = None
+                sketches[0][0][at : at + len(s)] = s
+                sketches[0][1][at : at + len(s)] = w
+                sketches[0][1][at : at + len(s)] += np.int32(shift[i])
+                at += len(s)
+            del blobs, s, w
+            for a, b, number in _pairs_of_runs(docs, sketches, bands):
                 for i in range(0, len(a), 1 << 17):
                     x, y = docs[a[i : i + (1 << 17)]], docs[b[i : i + (1 << 17)]]
                     level = bands.of(np.minimum(x["n"], y["n"]).astype(np.int64))
