@@ -59,6 +59,16 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 4) -> None:
+    """Lower the session's limits of Arrow batches to these, for good, where a plan is returned before it runs.
+
+    Rows of long texts then take less memory in Python workers and beside the heap. Results don't depend on it.
+    """
+    for k, most in {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": megabytes << 20}.items():
+        old = int(spark.conf.get(k).rstrip("b"))
+        spark.conf.set(k, str(min(most, old) if old > 0 else most))
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int, megabytes: int = 4):
     """Arrow batches of at most `rows` rows and about `megabytes` in what runs inside: long texts then take less memory."""
