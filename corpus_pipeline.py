@@ -2,6 +2,7 @@
 
 Each stage takes `(spark, docs, sf_dir)` and returns a DataFrame, which is written as Parquet and read
 again as the next stage's `docs`. All but the last keep the columns of `documents`.
+Stages that go through Python lower the session's limits of Arrow batches (`small_batches`).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillion.llm import decontaminate, ngram_jaccard, packing, pii_crf, quality_rules
-from quillion.plans.scratch import Scratch
+from quillion.plans.scratch import Scratch, small_batches
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +25,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages cut out; documents that consist of them are gone."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind."""
+    small_batches(spark)
     return pii_crf.mask_documents(docs)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their bin and offset."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

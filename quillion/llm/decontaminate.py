@@ -24,7 +24,7 @@ DROP_SHARE = 0.5
 #: Largest number of benchmark n-grams that are broadcast.
 BROADCAST_GRAMS = 500_000
 BITMAP = 27
-CHARS = 1 << 21
+CHARS = 1 << 19
 _U = np.uint64
 #: What the scan adds to columns that are numbered.
 ADDED = ("words", "cut", "items")
@@ -171,6 +171,7 @@ def _scan(shared, text_at: int, id_at: int, chars_at: int | None):
                 columns[chars_at] = pa.array(n, columns[chars_at].type)
             out = pa.RecordBatch.from_arrays(columns + [pa.array(n_words), pa.array(n_cut), pa.array(items)], names=[*batch.schema.names, *ADDED])
             yield out if keep.all() else out.filter(pa.array(keep))
+        _vec.trim()
 
     return run
 

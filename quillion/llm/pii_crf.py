@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillion.llm import _columns
+from quillion.llm import _columns, _vec
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "SSN", "IBAN", "PERSON")
 ROUNDS = 30
@@ -562,6 +562,7 @@ def _masked(docs: DataFrame) -> DataFrame:
                 if chars_at is not None:
                     columns[chars_at] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(columns[chars_at].to_pylist())], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(said)], names=[*batch.schema.names, "found"])
+        _vec.trim()
 
     return own.mapInArrow(run, schema)
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillion.llm import chat, decontaminate, html_extract, ngram_jaccard, packing, pii_crf, qda, quality_rules, token_pack, warc
+from quillion.plans.scratch import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
