@@ -176,3 +176,21 @@ def test_clashing_columns_and_small_cells(spark, monkeypatch):
     assert sorted(tuple(r) for r in nj.ngram_jaccard_join(df).collect()) == classes(rows)
     kept = nj.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, c, _ in classes(rows) if i == c]
+
+
+def test_pairs_inside_families_are_not_joined(spark, monkeypatch):
+    """Families in cells of several chunks; their pairs don't go through the join."""
+    monkeypatch.setattr(nj, "FAMILY", 5)
+    monkeypatch.setattr(nj, "CHUNK_DOCS", 8)
+    r = random.Random(3)
+    base = [f"v{i}" for i in range(120)]
+    rows = [(i, " ".join(r.choice(base) if r.random() < 0.06 else x for x in base)) for i in range(60)]
+    rows += [(1000 + i, x) for i, x in corpus(8, families=6, size=20)] + [(2000 + i, rows[i % 3][1]) for i in range(6)] + [(4, "another text of that id"), (5, rows[6][1])]
+    joined, whole = [], nj._cells
+    monkeypatch.setattr(nj, "_cells", lambda scratch, pairs: (joined.append(pairs.where("a < 1000 and b < 1000").count()), whole(scratch, pairs))[1])
+    assert run(spark, rows) == brute(rows)
+    assert joined[0] < 60 * 59 // 4
+    rows = [x for x in rows if x not in rows[-2:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in nj.ngram_jaccard_join(df).collect()) == classes(rows)
+    assert sorted(x.doc_id for x in nj.drop_near_duplicates(df).collect()) == [i for i, c, _ in classes(rows) if i == c]
