@@ -1,10 +1,16 @@
 import random
 import re
+import time
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from quillion.llm import _vec, ngram_jaccard as nj
+from quillion.plans.scratch import Scratch, no_old_shuffles
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -194,3 +200,53 @@ def test_pairs_inside_families_are_not_joined(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(tuple(x) for x in nj.ngram_jaccard_join(df).collect()) == classes(rows)
     assert sorted(x.doc_id for x in nj.drop_near_duplicates(df).collect()) == [i for i, c, _ in classes(rows) if i == c]
+
+
+def test_pairs_that_share_a_sketch_by_chance_stay_in_their_part():
+    """With several parts a band, only pairs that may reach the count leave a part, and no near pair is lost."""
+    bands, r = nj.Bands(0.7), random.Random(4)
+    unlike = [" ".join(["same", "two", "words", *(f"u{i}x{j}" for j in range(200))]) for i in range(40)]
+    alike = [" ".join(f"a{i}x{j}" if r.random() > 0.1 else "other" for j in range(200)) for i in range(10) for _ in range(3)]
+    texts = unlike + alike
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    share = lambda x: SimpleNamespace(value=x)
+    for parts in (1, 2, 3, 4):
+        number = np.full(len(bands.k), parts)
+        routes = (np.cumsum(number) - number, number)
+        out = pa.Table.from_batches(nj._emit(2, bands, share(np.zeros(1 << 24, np.uint8)), routes, share((np.zeros(0, np.int64), np.zeros(0, np.uint32))))(iter([batch])))
+        total, need = {}, {}
+        for p in set(out["part"].to_pylist()):
+            mine = out.filter(pa.compute.equal(out["part"], p)).to_batches()
+            for found in nj._candidates(bands, number)(iter(mine)):
+                for a, b, n, least in zip(*(c.to_pylist() for c in found.columns)):
+                    total[a, b], need[a, b] = total.get((a, b), 0) + n, least
+        assert not [p for p in total if p[0] < 40 and p[1] < 40]
+        assert {p for p in brute(list(enumerate(texts)))} <= {p for p in total if total[p] >= need[p]}
+
+
+def test_no_split_of_the_shared_sketches_loses_a_pair():
+    bands = nj.Bands(0.7)
+    for parts in range(1, 60):
+        number = np.full(len(bands.k), parts)
+        common, (most, need) = bands.shared(number), bands.asked(number)
+        assert (common >= bands.common).all() and (bands.k + common <= bands.lo[:-1]).all() and (need >= 1).all()
+        # what is left is least where as many parts as can be have `most` each
+        assert (common - most * parts >= need).all()
+        assert parts == 1 or (most[bands.k >= 8 * (parts + 3)] >= 1).all()
+
+
+def test_shuffle_files_go_with_their_plan(spark):
+    def files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in folders for p in Path(d.toString()).rglob("shuffle_*.data")}
+
+    before = files()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    with no_old_shuffles(spark):
+        kept = Scratch(spark, "shuffles").keep(spark.range(1000).repartition(3, "id"))
+        until = time.time() + 20
+        while files() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not files() - before
+    assert kept.count() == 1000 and spark.conf.get(key) == old
