@@ -250,3 +250,23 @@ def test_shuffle_files_go_with_their_plan(spark):
             time.sleep(0.2)
         assert not files() - before
     assert kept.count() == 1000 and spark.conf.get(key) == old
+
+
+def test_a_long_run_is_not_walked_step_by_step():
+    """Pairs of a run come some hundred thousand at a time, not in a step for each of its members in every pass."""
+
+    class Counting(nj.Bands):
+        calls = 0
+
+        def similar_sizes(self, a, b):
+            self.calls += 1
+            return super().similar_sizes(a, b)
+
+    m, bands = 3000, Counting(0.7)
+    docs = np.zeros(m + 2, dtype=nj._DOC)
+    docs["id"], docs["h"], docs["n"] = np.arange(m + 2), np.random.default_rng(1).permutation(m + 2), 30
+    sketches = np.concatenate([np.full(m, 2), [4, 4, 6]]).astype(np.uint32)
+    got = list(nj._pairs_of_runs(docs, [(sketches, np.append(np.arange(m), [m, m + 1, m]).astype(np.int32))], bands))
+    pairs = {(a, b) for x, y, _ in got for a, b in zip(x.tolist(), y.tolist())}
+    assert len(pairs) == sum(len(x) for x, *_ in got) == m * (m - 1) // 2 + 1 and (m, m + 1) in pairs
+    assert bands.calls < 100
