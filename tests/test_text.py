@@ -116,3 +116,9 @@ def test_near_misses():
         assert markers.is_near_miss(line), line
     assert not markers.is_near_miss("# !important")
     assert markers.is_near_miss("# oldname: NOQA", legacy=("oldname",)) and not markers.is_near_miss("# oldname: noqa")
+
+
+def test_rounding_takes_the_double_for_what_it_is(spark):
+    scores = [63 / 80, 69 / 80, 71 / 80, 77 / 80, 13 / 16, 15 / 16]
+    got = spark.createDataFrame([(x,) for x in scores], "x double").select(text.half_even(F.col("x"))).collect()
+    assert [r[0] for r in got] == [f"{x:.3f}" for x in scores] == ["0.787", "0.863", "0.887", "0.963", "0.812", "0.938"]
