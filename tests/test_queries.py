@@ -32,3 +32,15 @@ def test_difflib_agreement(spark, tables):
 
 def test_sql_is_for_known_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_precision_normalises_texts_once(spark, tables):
+    found = __spark_entry__.queries()["precision_by_unit"](spark, tables)
+    assert found.columns == ["unit", "proposed", "true"] and found.count() == 0
+    assert "documents.parquet" not in found._jdf.queryExecution().toString()
+
+
+def test_restatement_reads_small_batches(spark, tables):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert __spark_entry__.queries()["restatement_rate"](spark, tables).first()["comment_blocks"] == 13
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
